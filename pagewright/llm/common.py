@@ -6,7 +6,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +111,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once a row even where `use` has it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bucket_count(rows: int, per: int) -> int:
     """How many hash buckets give about `per` rows each."""
     return max(1, -(-rows // per))

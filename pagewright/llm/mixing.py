@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, release_shuffles, running_total
+from pagewright.llm.common import bound, materialise, release_shuffles, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -185,7 +185,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = p.groupBy("key", "n").agg(F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.array_sort(F.collect_list(seg)).alias("_segs"))
     joined = tagged.withColumn("_n", F.row_number().over(key)).join(parts, (F.col("_key") == F.col("key")) & (F.col("_n") == F.col("n")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_segs", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["n"].cast("int")))), "")
+    some = bound(words, lambda w: F.array_join(F.flatten(F.transform("_segs", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))
     total = F.aggregate("_segs", F.lit(0).cast("long"), lambda a, s: a + s["n"])
     cut = F.when(total == F.col("_size"), F.array(F.col(text_col))).when(total > 0, F.array(F.ltrim(some))).otherwise(F.array().cast("array<string>"))
     out = joined.withColumn("_text", F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("_passes").cast("int")), cut)))
