@@ -46,7 +46,7 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, l2: bool = False, on: l
     it. `on` names columns that must agree, which then are joined on as well."""
     blocks = 32
     c = chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     score = squared_l2("embedding", "q") if l2 else dot("embedding", "q")
     scored = c.join(q, ["_block", *(on or [])]).select("query_id", "chunk_id", score.alias("score"))
     return rank_per_query(scored, k, descending=not l2).select("query_id", "rank", "chunk_id", "score")
@@ -153,7 +153,7 @@ def routed_search(chunks: DataFrame, queries: DataFrame, k: int | None = None, c
     fits = (F.col("want_company").isNull() | (F.col("want_company") == F.col("company"))) & (F.col("want_year").isNull() | (F.col("want_year") == F.col("year")))
     blocks = 32
     c = chunks.select("chunk_id", "company", "year", "embedding").withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    a = asked.select("query_id", "q", F.col("company").alias("want_company"), F.col("year").alias("want_year")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    a = asked.select("query_id", "q", F.col("company").alias("want_company"), F.col("year").alias("want_year")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     scored = c.join(a, "_block").where(fits).select("query_id", "chunk_id", dot("embedding", "q").alias("score"))
     hits = rank_per_query(scored, k).select("query_id", "rank", "chunk_id", "score")
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))

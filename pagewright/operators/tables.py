@@ -35,18 +35,21 @@ def candidates(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     x = lines.withColumn("nearby_numeric_lines", near)
     wide = F.size(F.array_distinct("xs")) >= 2
     x = x.withColumn("cand1", (F.col("numeric_ratio") >= c.numeric_ratio) & ((F.col("nearby_numeric_lines") >= 1) | wide))
-    # pass 2: level with a candidate; the nearest candidate above or below in y decides
-    up = Window.partitionBy(*PAGE).orderBy("y").rangeBetween(-c.row_gap, c.row_gap)
-    mate = F.max(F.col("cand1").cast("int")).over(up) == 1
+    # pass 2: level with a candidate
+    def any_within(col: str, low: str, high: str) -> Column:
+        """Whether a line of the page has `col` at a y between the bounds."""
+        return F.expr(f"max(cast({col} as int)) over (partition by {', '.join(PAGE)} order by y range between {low} and {high})") == 1
+
+    mate = any_within("cand1", f"{c.row_gap}D preceding", f"{c.row_gap}D following")
     x = x.withColumn("promoted_as_row_label", ~F.col("cand1") & y.isNotNull() & (strip(F.col("text")) != "") & mate)
     x = x.withColumn("cand2", F.col("cand1") | F.col("promoted_as_row_label"))
     # pass 3: a short line above the first figures, level in x with a candidate's cell
-    below = Window.partitionBy(*PAGE).orderBy("y").rangeBetween(1e-9, c.header_zone)
+    below = any_within("cand1", "0.000000001D following", f"{c.header_zone}D following")
     page = Window.partitionBy(*PAGE)
     spots = F.flatten(F.collect_list(F.when(F.col("cand2"), F.col("xs"))).over(page))
     aligned = F.exists(F.array_distinct("_spots"), lambda s: F.abs(s - F.col("x")) <= c.header_x)
     t = strip(F.col("text"))
-    x = x.withColumns({"_spots": spots, "_below": F.max(F.col("cand1").cast("int")).over(below) == 1})
+    x = x.withColumns({"_spots": spots, "_below": below})
     short = (t != "") & (P.words(t) <= c.header_words) & ~t.endswith(".")
     x = x.withColumn("promoted_as_header_fragment", F.coalesce(~F.col("cand2") & y.isNotNull() & short & F.col("_below") & aligned, F.lit(False)))
     x = x.withColumn("cand3", F.col("cand2") | F.col("promoted_as_header_fragment"))
