@@ -182,8 +182,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     upto = F.when(F.col("whole") > F.col("passes"), F.col("z")).otherwise(F.least("z", "part"))
     at = F.col("block") * block + F.col("a") - F.col("start")
     seg = F.when(upto > F.col("a"), F.struct(at.alias("at"), (upto - F.col("a")).alias("n")))
-    parts = p.groupBy("key", "n").agg(F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.array_sort(F.collect_list(seg)).alias("_segs"))
-    joined = tagged.withColumn("_n", F.row_number().over(key)).join(parts, (F.col("_key") == F.col("key")) & (F.col("_n") == F.col("n")))
+    parts = p.groupBy(F.col("key").alias("_of"), F.col("n").alias("_nth")).agg(F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.array_sort(F.collect_list(seg)).alias("_segs"))
+    joined = tagged.withColumn("_n", F.row_number().over(key)).join(parts, (F.col("_key") == F.col("_of")) & (F.col("_n") == F.col("_nth")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     some = bound(words, lambda w: F.array_join(F.flatten(F.transform("_segs", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))
     total = F.aggregate("_segs", F.lit(0).cast("long"), lambda a, s: a + s["n"])

@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ws = words(F.col(text_col))
     key = F.when(F.size(ws) > 0, F.unhex(F.md5(F.array_join(ws, " ").cast("binary"))))
     src = docs.withColumns({"_key": key, "_id": F.col(id_col)})
-    kept = src.join(stay.select(F.col("doc_id").alias("_of"), F.col("key").alias("_k"), "n"), F.col("_id").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_k")))
-    once = kept.where((F.col("n") == 1) | F.col("_key").isNull()).select(*docs.columns)
-    many = kept.where((F.col("n") > 1) & F.col("_key").isNotNull()).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    kept = src.join(stay.select(F.col("doc_id").alias("_of"), F.col("key").alias("_k"), F.col("n").alias("_rows")), F.col("_id").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_k")))
+    once = kept.where((F.col("_rows") == 1) | F.col("_key").isNull()).select(*docs.columns)
+    many = kept.where((F.col("_rows") > 1) & F.col("_key").isNotNull()).dropDuplicates(["_id", "_key"]).select(*docs.columns)
     return once.unionByName(many)

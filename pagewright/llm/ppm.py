@@ -73,7 +73,7 @@ def build(rows: list[tuple[str, int, int, int]], order: int, least: int = 8) ->
     their probabilities after the context's suffix; below the empty context all symbols are
     alike. So each state's probabilities add up to 1 for each language."""
     langs = sorted({r[0] for r in rows})
-    seen = sorted({r[2] for r in rows if r[1] == 1})
+    seen = sorted({r[2] for r in rows if r[1] == 1} | {10})  # the line feed is every text's first context
     symbols = len(seen) + 1
     symbol = np.full(256, symbols - 1, dtype=np.int64)
     symbol[seen] = np.arange(len(seen))
@@ -131,8 +131,8 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and bits_per_byte to every row.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", fields: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """Adds lang_pred, score and bits_per_byte, or three `fields` of other names, to every row.
 
     The language with the least code length of the whole lower-cased text is predicted, the
     first in order of code points on a tie. score: its posterior probability, were all languages
@@ -141,10 +141,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     a letter are `und` with score 0 and null bits_per_byte; so is everything, if nothing was
     learned."""
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    fields = ["lang_pred", "score", "bits_per_byte"]
     cols = [c for c in docs.columns if c not in fields]
     src = docs.select(*cols, letter.alias("_letter"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema] + ["lang_pred string", "score double", "bits_per_byte double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema] + [f"{f} {t}" for f, t in zip(fields, ("string", "double", "double"))])
     where = cols.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,4 +197,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:
     """The documents whose language could be told, with their columns: those that are `und` go."""
     model = learn(docs, id_col, text_col, lang_col, **kw)
-    return predict(docs, model, text_col).where("lang_pred <> 'und'").select(*docs.columns)
+    return predict(docs, model, text_col, ("_lang_pred", "_score", "_bits")).where("_lang_pred <> 'und'").select(*docs.columns)
