@@ -61,7 +61,7 @@ def json_reports(spark: SparkSession, folder: str, schema: str, suffix: str = ".
 
 def text_reports(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-09, SRC-10: whole text files with their folder and name."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    df = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     path = F.col("_metadata.file_path")
     return df.select(path_part(path, 2).alias("folder"), path_part(path, 1).alias("file_name"), F.col("value").alias("text"))
 
