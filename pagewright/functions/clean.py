@@ -12,6 +12,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _pattern(short: str) -> str:
+    """A pattern from its shorthand: ~ and _ are optional and required white space, #, #4 and #8
+    digits, ¦ a bar, a point itself."""
+    for mark, regex in ((".", r"\."), ("~", r"\s*"), ("_", r"\s+"), ("#4", r"\d{4}"), ("#8", r"\d{8}"), ("#?", r"\d*"), ("#", r"\d+"), ("¦", r"\|"),
+                        ("<name>", "[A-Za-z0-9_-]+"), ("<rest>", r"[^\n]*"), ("<b>", r"\b"), ("<any>", r"\S*"), ("<feed>", r"\n"), ("<u>", "_")):
+        short = short.replace(mark, regex)
+    return short
+
+
 _DATE = "/".join([r"\d{1,2}"] * 2 + [r"\d{2,4}"]) + ",?"
 _CLOCK = ":".join([r"\d{1,2}", r"\d{2}"])
 
@@ -19,22 +28,13 @@ _CLOCK = ":".join([r"\d{1,2}", r"\d{2}"])
 V2 = {
     "c01_urls": [(r"(?i)https?://\S+", "")],
     "c02_timestamps": [(rf"(?i){_DATE}\s+{_CLOCK}(?::\d\d)?\s?(?:[AP]M)?\b", "")],
-    "c03_html_files": [(r"(?i)[A-Za-z0-9_-]+\.html?", "")],
-    "c04_sec_ids": [(r"(?i)\b[a-z]{2,10}-\d{8}\b", "")],
+    "c03_html_files": [("(?i)" + _pattern("<name>.html?"), "")],
+    "c04_sec_ids": [("(?i)" + _pattern("<b>[a-z]{2,10}-#8<b>"), "")],
     "c05_checkboxes": [("[☐☑☒□■✓✔]", "")],
-    "c06_toc_link": [(r"(?i)^\s*Table\s+of\s+Contents\s*$", "")],
+    "c06_toc_link": [("(?i)^" + _pattern("~Table_of_Contents~") + "$", "")],
     "c07_unicode": [("[•–—]", "-"), ("…", "..."), ("[ \t]", " "), ("[“”]", '"'), ("[‘’]", "'")],
-    "c08_spaces": [(" {2,}", " "), (r"\n{3,}", "\n\n")],
+    "c08_spaces": [(" {2,}", " "), (_pattern("<feed>{3,}"), 2 * "\n")],
 }
-def _pattern(short: str) -> str:
-    """A pattern from its shorthand: ~ and _ are optional and required white space, #, #4 and #8
-    digits, ¦ a bar, a point itself."""
-    for mark, regex in ((".", r"\."), ("~", r"\s*"), ("_", r"\s+"), ("#4", r"\d{4}"), ("#8", r"\d{8}"), ("#?", r"\d*"), ("#", r"\d+"), ("¦", r"\|"),
-                        ("<name>", "[A-Za-z0-9_-]+"), ("<rest>", r"[^\n]*"), ("<b>", r"\b"), ("<any>", r"\S*"), ("<u>", "_")):
-        short = short.replace(mark, regex)
-    return short
-
-
 #: Page headers of issuers, in the order in which they go.
 HEADERS = [_pattern(x) for x in """
 Apple Inc.~¦~#4~Form~10-K~¦~#
@@ -76,13 +76,13 @@ ARTIFACTS = [_pattern(x) for x in """
 V1 = {
     "c09_urls": [(r"https?://\S+", "")],
     "c10_timestamps": [(rf"{_DATE}\s+{_CLOCK}\s?[AP]M", "")],
-    "c11_page_numbers": [(r"^\s*\d+\.?\s*$", ""), (r"\b\d+\s*/\s*\d+\b", "")],
-    "c12_checkboxes": [(r"(?i)\[x\]|\[_\]|[☐☑☒□✓✔]", "")],
+    "c11_page_numbers": [("^" + _pattern("~#.?~") + "$", ""), (_pattern("<b>#~/~#<b>"), "")],
+    "c12_checkboxes": [("(?i)" + "|".join([r"\[x\]", r"\[_\]", "[☐☑☒□✓✔]"]), "")],
     "c13_headers": [("(?i)" + p, "") for p in HEADERS],
     "c14_artifacts": [("(?im)" + p, "") for p in ARTIFACTS],
     "c15_toc": [(r"(?i)Table\s+of\s+Contents", "")],
     "c16_spaces": [(r"[ \t]{2,}", " ")],
-    "c17_blank_lines": [(r"\n\s*\n\s*\n+", "\n\n")],
+    "c17_blank_lines": [(_pattern("~".join(3 * ["<feed>"])) + "+", 2 * "\n")],
     "c18_unicode": [("[•–—]", "-"), ("…", "..."), (" ", " ")],
     "c19_quotes": [("[“”]", '"'), ("[‘’]", "'")],
     "c20_tabs": [("\t", " ")],
@@ -149,9 +149,9 @@ def year_of_folder(c: Column) -> Column:
 
 def year_of_query(c: Column, v1: bool = False) -> Column:
     """C-27: the first year named."""
-    return F.nullif(F.regexp_extract(c, r"\b20\d{2}\b" if v1 else r"\b(?:19|20)\d{2}\b", 0), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(c, r"\b20\d{2}\b" if v1 else r"\b(?:19|20)\d\d\b", 0), F.lit("")).cast("int")
 
 
 def sentences(c: Column) -> Column:
     """C-23: cut at white space after a sentence mark and before a capital or a parenthesis."""
-    return F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z(])")
+    return F.split(c, "(?U)(?<=[.!?])" + r"\s+" + "(?=[A-Z(])")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pagewright.config import RECENCY, SECTIONS, V1_COMPANIES
 from pagewright.functions.clean import _CLOCK, _DATE, strip
 
-BYLINE = r"(?i)^.{1,80}\|\s*\d{4}\s*Form\s*10-K\s*\|\s*\d{1,4}$"
+_BAR, _FEW, ITEM = r"\|", r"\d{1,4}", r"Item\s+\d+"
+BYLINE = "(?i)^.{1,80}" + r"\s*".join([_BAR, r"\d{4}", "Form", "10-K", _BAR, _FEW]) + "$"
 TIMESTAMP = rf"(?i)^{_DATE}\s+{_CLOCK}(?::\d\d)?\s?(?:[AP]M)?$"
-FRACTION = r"^\d{1,4}\s*/\s*\d{1,4}$"
+FRACTION = "^" + r"\s*/\s*".join([_FEW, _FEW]) + "$"
 URL = r"(?i)https?://\S+"
-MARKER = r"(?i)^PART\s+[IVXLCDM]+\b|^Item\s+\d+[A-Za-z]?\."
-FRAGMENT = r"(?i)^(Item\s+\d+[A-Za-z]?\.?|[IVXLCDM]+\.|[A-Za-z]?\d+\.)$"
+MARKER = rf"(?i)^PART\s+[IVXLCDM]+\b|^{ITEM}[A-Za-z]?\."
+FRAGMENT = "(?i)^(" + "|".join([ITEM + r"[A-Za-z]?\.?", r"[IVXLCDM]+\.", r"[A-Za-z]?\d+\."]) + ")$"
 FLOAT = r"(?i)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?\s*$|^\s*[+-]?(nan|inf|infinity)\s*$"
 
 
@@ -50,7 +51,7 @@ def numeric_token(c: Column) -> Column:
 
 def numeric_cell(c: Column) -> Column:
     """P-12."""
-    return ~strip(c).isin("$", "-", "--", "—", "%", "(", ")") & numeric_token(c)
+    return ~strip(c).isin(*"$-—%()", "--") & numeric_token(c)
 
 
 def numeric_value(c: Column) -> Column:
@@ -97,4 +98,4 @@ def v1_heading(c: Column) -> Column:
     """P-26: an item line, or a short line in capitals."""
     x = strip(c)
     caps = (F.upper(x) == x) & x.rlike(r"\p{Lu}") & (F.length(x) < 80) & (words(x) <= 8)
-    return (F.length(x) >= 4) & (x.rlike(r"(?i)^Item\s+\d+[A-Z]?\.") | caps)
+    return (F.length(x) >= 4) & (x.rlike(f"(?i)^{ITEM}" + r"[A-Z]?\.") | caps)

@@ -12,6 +12,8 @@ from pagewright.config import DEFAULT, Config
 from pagewright.functions.clean import sentences, strip
 from pagewright.operators.tables import table_text
 
+#: Where to cut, the best place first.
+MARKS = tuple("\n\n|\n|. | |".split("|"))
 _STATE = "struct<cur:string,out:array<string>>"
 
 
@@ -75,7 +77,7 @@ def table_chunks(tables: DataFrame) -> DataFrame:
     return tables.withColumns({"chunk_type": F.lit("table"), "text": table_text(F.col("header"), F.col("rows")), "page_numbers": F.array("page_index")})
 
 
-def split_recursive(text: str, size: int, overlap: int, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
+def split_recursive(text: str, size: int, overlap: int, marks: tuple[str, ...] = MARKS) -> list[str]:
     """ST-06: cut at the first mark that occurs; parts that are still too long are cut at the next
     ones; neighbours are joined up to `size`, repeating up to `overlap` characters. A mark stays
     at the start of what follows it."""

@@ -66,7 +66,8 @@ def candidates(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 # ---- the geometry of a page, folded in order: one page at a time, never across pages ----
 
-_DASHES, _LONE = {"-", "--", "—"}, {"$", "-", "--", "—", "%", "(", ")"}
+_DASHES = {"-", "--", "—"}
+_LONE = _DASHES | set("$%()")
 
 
 def _numeric(text: str) -> bool:
@@ -195,11 +196,15 @@ def data_row(cells: list[dict], columns: list[dict], near: float, margin: float)
         for col, c in zip(open_, spare):
             values[col["text"]] = c["text"].strip()
     text = " ".join(label).strip()
-    if not text and all(v is None for v in values.values()):
+    if not (text or any(v is not None for v in values.values())):
         return None
     return {"label": text, "values": [{"col": k, "val": v} for k, v in values.items()]}
 
 
+def _found(kind: str, columns: list[dict], rows: list[dict]) -> dict:
+    return dict(header=[g["text"] for g in columns], header_detected=True, column_type=kind, rows=rows)
+
+
 def parse_region(rows: list[dict], config: Config = DEFAULT) -> dict:
     """ST-04: by years, else by a header of words, else as it stands."""
     c = config
@@ -208,13 +213,13 @@ def parse_region(rows: list[dict], config: Config = DEFAULT) -> dict:
         cols = sorted(({"x": v["x"], "text": v["text"].strip()} for v in rows[at]["cells"] if _year(v["text"])), key=lambda g: g["x"])
         got = [d for k, r in enumerate(rows) if k != at and (d := data_row(r["cells"], cols, c.column_x, c.column_x))]
         if len(cols) >= 2 and got:
-            return {"header": [g["text"] for g in cols], "header_detected": True, "column_type": "year", "rows": got}
+            return _found("year", cols, got)
     found = text_header(rows, c.text_header_rows, c.column_x)
     if found:
         first, cols = found
         got = [d for r in rows[first:] if (d := data_row(r["cells"], cols, c.text_column_x, c.column_x))]
         if got:
-            return {"header": [g["text"] for g in cols], "header_detected": True, "column_type": "text_label", "rows": got}
+            return _found("text_label", cols, got)
     raw = [{"label": None, "values": None, "cells": [{"text": v["text"], "x": v["x"]} for v in r["cells"]]} for r in rows]
     return {"header": [], "header_detected": False, "column_type": None, "rows": raw}
 

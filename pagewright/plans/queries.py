@@ -299,7 +299,7 @@ def _(s, d):
     return lines.drop_export_blocks(_footed(s, d))
 
 
-@query("page_fraction_lines", r"SELECT company, page_index, line_index, regexp_full_match(trim(text), '\d{1,4}\s*/\s*\d{1,4}') AS fraction, lower(trim(text)) = 'document' AS word, regexp_matches(text, '(?i)https?://\S+') AS url FROM foot", _FOOT)
+@query("page_fraction_lines", f"SELECT company, page_index, line_index, regexp_matches(trim(text), '{P.FRACTION}') AS fraction, lower(trim(text)) = 'document' AS word, regexp_matches(text, '{P.URL}') AS url FROM foot", _FOOT)
 def _(s, d):
     t = F.col("text")
     return _footed(s, d).select("company", "page_index", "line_index", P.is_fraction(t).alias("fraction"), P.is_document_word(t).alias("word"), P.has_url(t).alias("url"))
@@ -318,7 +318,7 @@ _HEAD = [
           ELSE CASE WHEN bold THEN 3 WHEN ital THEN 2 ELSE 0 END + CASE WHEN rel >= 1.5 THEN 3 WHEN rel >= 1.15 THEN 2 WHEN rel >= 0.98 THEN 1 ELSE -2 END
             + CASE WHEN n <= 12 THEN 2 WHEN n <= 24 THEN 0 ELSE -3 END + CASE WHEN t LIKE '%.' AND n > 3 THEN -2 ELSE 0 END + CASE WHEN caps >= 0.9 * letters THEN 1 ELSE 0 END END AS score FROM feat""",
     ),
-    ("lev", r"SELECT *, score >= 5 AS h0, CASE WHEN score < 5 THEN 0 WHEN rel >= 1.5 THEN 1 WHEN regexp_matches(t, '(?i)^PART\s+[IVXLCDM]+\b|^Item\s+\d+[A-Za-z]?\.') THEN 2 WHEN ital AND rel < 1.15 THEN 4 WHEN bold THEN 3 ELSE 4 END AS lv FROM scores"),
+    ("lev", f"SELECT *, score >= 5 AS h0, CASE WHEN score < 5 THEN 0 WHEN rel >= 1.5 THEN 1 WHEN regexp_matches(t, '{P.MARKER}') THEN 2 WHEN ital AND rel < 1.15 THEN 4 WHEN bold THEN 3 ELSE 4 END AS lv FROM scores"),
     ("ev", "SELECT *, CASE WHEN bold AND NOT h0 AND n > 24 AND letters > 0 AND t NOT LIKE '%.' THEN 1 WHEN NOT bold OR t LIKE '%.' THEN 0 END AS e FROM lev"),
     ("run", "SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY company, file_name, page_index ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AND bold AND h0 AS out FROM ev"),
 ]
@@ -500,7 +500,7 @@ def _(s, d):
     return paragraphs.fix(x).select("company", "file_name", "page_index", "text")
 
 
-_FRAG = rf"{_W('t')} <= 4 AND t LIKE '%.' AND NOT regexp_matches(t, '(?i)^(Item\s+\d+[A-Za-z]?\.?|[IVXLCDM]+\.|[A-Za-z]?\d+\.)$')"
+_FRAG = rf"{_W('t')} <= 4 AND t LIKE '%.' AND NOT regexp_matches(t, '{P.FRAGMENT}')"
 
 
 @query("fragment_downgrade", f"SELECT doc_id, line_index, CASE WHEN {_FRAG} THEN 'paragraph' ELSE 'heading' END AS block_type FROM (SELECT doc_id, line_index, trim(text) AS t FROM v_lines)")
