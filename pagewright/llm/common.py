@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -46,9 +47,11 @@ def delete(df_or_path: DataFrame | str, spark: SparkSession) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of jobs that are over, so that a chain of
-    jobs holds the disk of one of them at a time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jobs holds the disk of one of them at a time. The cleaner works in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def hot_keys(df: DataFrame, key: str, parts: int = 256) -> DataFrame:

@@ -97,23 +97,46 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, bands array<long>")
 
 
+def _with_bands(lines: DataFrame) -> DataFrame:
+    """Adds bands to (id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in slices(batch.column(1), 1 << 20):
+                part = batch.slice(a, z - a)
+                got = band_hashes(signatures(part.column(1).to_pylist())).reshape(-1)
+                ends = pa.array(np.arange(0, len(got) + 1, BANDS), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(got, pa.int64()))], ["id", "line", "bands"])
+
+    return lines.mapInArrow(run, "id long, line string, bands array<long>")
+
+
 def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of a task's lines with exact Jaccard similarity from the threshold on.
 
-    tasks: (task, left, right, id, line), sorted by task. A line is on the left side, the right
-    or both; at most 64 lines are on either, so a worker holds the shingles of 128 lines."""
+    tasks: (task, no, left, right, id, line, bands), sorted by task; no: which band it is. A line
+    is on the left side, the right or both; at most some 64 lines are on either. A pair is
+    verified in the first band that it shares, and shingles are only made for pairs to verify."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = {i: frozenset(s[k : k + SHINGLE] for k in range(len(s) - SHINGLE + 1)) for _, _, _, i, s in rows}
-        left, right = [r[3] for r in rows if r[1]], [r[3] for r in rows if r[2]]
+        no = rows[0][1]
+        left, right = [r for r in rows if r[2]], [r for r in rows if r[3]]
+        same = np.array([r[6] for r in left])[:, None, : no + 1] == np.array([r[6] for r in right])[None, :, : no + 1]
+        todo = np.argwhere(same[:, :, no] & ~same[:, :, :no].any(2)).tolist()
+        sets: dict[int, frozenset[str]] = {}
         out = set()
-        for a in left:
-            for b in right:
-                x, y = sets[a], sets[b]
-                if a != b and min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    common = len(x & y)
-                    if common >= threshold * (len(x) + len(y) - common):
-                        out.add((min(a, b), max(a, b)))
+        for i, j in todo:
+            a, b = left[i], right[j]
+            if a[4] == b[4]:
+                continue
+            for r in (a, b):
+                if r[4] not in sets:
+                    sets[r[4]] = frozenset(r[5][k : k + SHINGLE] for k in range(len(r[5]) - SHINGLE + 1))
+            x, y = sets[a[4]], sets[b[4]]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                common = len(x & y)
+                if common >= threshold * (len(x) + len(y) - common):
+                    out.add((min(a[4], b[4]), max(a[4], b[4])))
         return sorted(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +167,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     document id, then by a hash of the document, then by line number.
 
     Candidates share one of 12 bands of 5 MinHash values: a pair right at the threshold is found
-    with probability 0.99. Bands with equal members are verified once. Members are verified in
-    blocks of 64 lines, so a group is spread over tasks whatever its size, and only links leave
+    with probability 0.99. A pair is verified in the first band that it shares, in blocks of
+    64 lines, so a group is spread over tasks whatever its size, and only links leave
     them; copies are merged, partly before the shuffle, so a line that half of all documents have
     is one row. Lines of fewer than 5 characters only equal each other."""
     spark = docs.sparkSession
@@ -154,16 +177,18 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = line_table(src).groupBy("h").agg(F.min(where).alias("at"), F.any_value("bands").alias("bands"))
     texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "at.*", "bands"))
     release_shuffles(spark)
-    rows = texts.select("id", F.explode("bands").alias("band"))
-    bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("all")).where("n > 1")
-    bands = materialise(bands.groupBy("n", "least", "all").agg(F.min("band").alias("band")))
-    members = materialise(rows.join(bands.select("band", "n"), "band"))
+    # a band's number is in its lowest bits
+    rows = texts.select("id", F.explode(F.transform("bands", lambda x, i: F.shiftleft(x, 4).bitwiseOR(i.cast("long")))).alias("band"))
+    bands = materialise(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    release_shuffles(spark)
+    members = materialise(rows.join(bands, "band"))
     release_shuffles(spark)
-    need = members.select("id").distinct().join(texts, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("want"))
-    with_text = src.join(need.withColumnRenamed("doc_id", "_d"), "row").where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    # only the members' texts are fetched, each document once; bands are made again from them,
+    # which is cheaper than to send them along
+    need = members.select("id").distinct().join(texts.drop("bands"), "id").groupBy("row").agg(F.collect_list(F.struct("id", "line_no")).alias("want"))
+    with_text = src.select("row", "text").dropDuplicates(["row"]).join(need, "row")
     with_text = with_text.select(F.split("text", "\n", -1).alias("lines"), "want").select("lines", F.explode("want").alias("w"))
-    lines = with_text.select("w.id", F.lower(F.get("lines", F.col("w.line_no"))).alias("line")).dropDuplicates(["id"])
-    lines = materialise(lines)
+    lines = materialise(_with_bands(with_text.select("w.id", F.lower(F.get("lines", F.col("w.line_no"))).alias("line"))))
     release_shuffles(spark)
     # block pairs of a band's members: (x, y) with x <= y; hash blocks of about 64 members
     parts = F.ceil(F.col("n") / _TASK).cast("int")
@@ -174,8 +199,9 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
         (F.col("part") <= F.col("other")).alias("left"),
         (F.col("part") >= F.col("other")).alias("right"),
+        F.col("band").bitwiseAND(15).cast("int").alias("no"),
     )
-    tasks = pairs.join(lines, "id").select("task", "left", "right", "id", "line").repartition("task").sortWithinPartitions("task")
+    tasks = pairs.join(lines, "id").select("task", "no", "left", "right", "id", "line", "bands").repartition("task").sortWithinPartitions("task")
     links = materialise(_verify(tasks, threshold).distinct())
     for t in (lines, members, bands):
         delete(t, spark)
@@ -199,20 +225,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw)
     _n_links (see analyse). Blank lines stay where they are. Null text stays null and has no
     lines; rows that repeat with their id and text are one document and all keep the same lines;
     null ids are ids like any other; no rows give none."""
-    got = analyse(docs, id_col, text_col, **kw).select(F.col("row").alias("_row"), F.col("doc_id").alias("_of"), "kept", "n_fuzzy", "n_links")
+    got = analyse(docs, id_col, text_col, **kw).select(F.col("row").alias("_row"), F.col("doc_id").alias("_of"), F.col("kept").alias("_kept"), F.col("n_fuzzy").alias("_fuzzy"), F.col("n_links").alias("_links"))
     src = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
     j = src.join(got, (F.col("_row_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
     # as Python's strip sees it, only for deciding which lines count
     blank = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
     j = j.withColumn("_lines", F.split(text_col, "\n", -1))
-    kept = F.filter("_lines", lambda x, i: x.rlike(blank) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
+    kept = F.filter("_lines", lambda x, i: x.rlike(blank) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
     count = F.coalesce(F.size(F.filter("_lines", lambda x: ~x.rlike(blank))), F.lit(0)).cast("long")
     new = {
         text_col: F.array_join(kept, "\n"),
         "_n_lines": F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(count),
-        "_n_kept": F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("kept")).cast("long"),
-        "_n_fuzzy": F.coalesce("n_fuzzy", F.lit(0)).cast("long"),
-        "_n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
+        "_n_kept": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long"),
+        "_n_fuzzy": F.coalesce("_fuzzy", F.lit(0)).cast("long"),
+        "_n_links": F.coalesce("_links", F.lit(0)).cast("long"),
     }
     return j.withColumns(new).select(*docs.columns, "_n_lines", "_n_kept", "_n_fuzzy", "_n_links")
 
