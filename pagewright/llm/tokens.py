@@ -8,6 +8,7 @@ tokenizers library only sees the units that a worker hasn't met."""
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+_MARKS = ".,;:!?"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -47,20 +48,27 @@ class Encoder:
         self.alphabet = _byte_alphabet()
         self.seen: dict[str, bytes] = {}
 
-    def _piece(self, s: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.alphabet))]
+    def _piece(self, s: str) -> bytes:
+        if s.isascii():  # letters are themselves in the byte alphabet, and only a space is not
+            s = s.replace(" ", self.alphabet[32])
+        else:
+            s = s.encode().decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def _ids(self, unit: str) -> bytes:
         """The ids of a unit, with its leading space if it has one."""
         body = unit[1:] if unit[:1] == " " else unit
-        m = _SIMPLE.fullmatch(body)
-        if m and m[1].isalpha():  # one pre-token of letters and perhaps one of marks
-            if m[2]:
-                return self._unit(unit[: len(unit) - len(m[2])]) + self._unit(m[2])
-            ids = self._piece(unit)
-        else:
-            ids = self.tok.encode(unit, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u2").tobytes()
+        if body.isalpha():  # one pre-token
+            return self._piece(unit)
+        stem = body.rstrip(_MARKS)
+        if stem.isalpha():  # one of letters and one of marks
+            return self._unit(unit[: len(unit) - len(body) + len(stem)]) + self._unit(body[len(stem) :])
+        if "\n" in body:  # a line feed between other characters is a pre-token of its own
+            first, *rest = body.split("\n")
+            if first and all(p and not p[0].isspace() for p in rest) and not any(p[-1].isspace() for p in (first, *rest)):
+                feed = self._unit("\n")
+                return self._unit(unit[: len(unit) - len(body) + len(first)]) + b"".join(feed + self._unit(p) for p in rest)
+        return array("H", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
         got = self.seen.get(unit)
