@@ -227,7 +227,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw)
     null ids are ids like any other; no rows give none."""
     got = analyse(docs, id_col, text_col, **kw).select(F.col("row").alias("_row"), F.col("doc_id").alias("_of"), F.col("kept").alias("_kept"), F.col("n_fuzzy").alias("_fuzzy"), F.col("n_links").alias("_links"))
     src = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
-    j = src.join(got, (F.col("_row_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
+    # hashed, not sorted: the side with the texts is only streamed and spills nothing
+    j = src.join(got.hint("shuffle_hash"), (F.col("_row_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
     # as Python's strip sees it, only for deciding which lines count
     blank = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
     j = j.withColumn("_lines", F.split(text_col, "\n", -1))
