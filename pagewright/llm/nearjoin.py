@@ -35,7 +35,7 @@ def _signature(rows: DataFrame, trees: int, depth: int) -> DataFrame:
     return rows.groupBy("key").agg(*least).select("key", F.array(*[F.col(f"_m{m}").bitwiseAND(0x7FFFFFFF).cast("int") for m in range(trees * depth)]).alias("sig"))
 
 
-def chance(j: float | Column, depth: int, trees: int):
+def chance(j: float, depth: int, trees: int) -> float:
     """That two sets of Jaccard similarity j share a prefix of that depth in one tree at least."""
     return 1 - (1 - j**depth) ** trees
 
@@ -79,10 +79,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     The forest: each tree orders the texts by a signature of `depth` MinHash values. Texts that
     share a whole signature are compared first; then prefixes are shortened, one value at a
-    time, and what is newly matched is verified, until the links found make up the share `target`
-    of all, as estimated from each link's chance to be found at this depth, or until the depth
-    at which even pairs just at the threshold have that chance. No pair is dropped for the size
-    of its group; verification is exact.
+    time, and what is newly matched is verified, down to the depth at which even pairs just at
+    the threshold have the chance `target` to be found. An estimate over all links can't end this
+    earlier: a large group of near copies has nearly all links, and they are found at once. No
+    pair is dropped for the size of its group; verification is exact.
 
     Null texts and texts without a letter or digit are compared with nothing: class_id is their
     own id. Null and repeated ids are carried along; no rows give none; other columns are ignored."""
@@ -118,9 +118,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         links = found if links is None else links.unionAll(found)
         tried = pairs if tried is None else tried.unionAll(pairs)
         release_shuffles(spark)
-        one = links.agg(F.count(F.lit(1)).alias("n"), F.sum(1 / chance(F.col("j"), d, trees)).alias("all")).first()
-        if d > low and one["n"] and one["n"] >= target * one["all"]:
-            break
     delete(sets, spark)
     delete(nodes, spark)
 

@@ -127,3 +127,22 @@ def test_search(spark):
             want |= {(k, n + 1, j, -s) for n, (s, j) in enumerate(best)}
     assert {tuple(x) for x in got} == want
     assert topk.search(df.limit(0)).count() == 0
+
+
+def test_near_join_beside_copies(spark):
+    """A group of near copies holds nearly all links; pairs just at the threshold are found all the same."""
+    r = np.random.default_rng(11)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 1 << 60, n)]
+    base, rows = new(100), []
+    for k in range(120):  # J about 0.88 with each other
+        w = list(base)
+        w[int(r.integers(5, 95))] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(150):  # J 0.50 to 0.54
+        common = new(42 + k % 3)
+        rows += [(1000 + 2 * k + i, " ".join(common + new(62 - len(common)))) for i in (0, 1)]
+    sets = {k: frozenset(zip(w, w[1:], w[2:])) for k, w in ((k, t.split()) for k, t in rows)}
+    assert all(0.5 <= jaccard(sets[1000 + 2 * k], sets[1001 + 2 * k]) < 0.55 for k in range(150))
+    got = {x.doc_id: x.class_id for x in nearjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(120)} == {0}
+    assert sum(got[1001 + 2 * k] == 1000 + 2 * k for k in range(150)) >= 0.97 * 150
