@@ -2,7 +2,8 @@
 
 A space with no white space on either side always begins a new pre-token in this kind of
 vocabulary, so a text falls apart at such spaces into units whose ids don't depend on their
-surroundings. Units repeat a lot: each batch is cut and dictionary-encoded by Arrow, and the
+surroundings, unless a text has the string of an added token: such a text is given to the
+tokenizers library whole. Units repeat a lot: each batch is cut and dictionary-encoded by Arrow, and the
 tokenizers library only sees the units that a worker hasn't met."""
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("more than 65,536 ids")
         self.model, self.keep = self.tok.model, keep
@@ -92,6 +93,11 @@ class Encoder:
         n = len(texts)
         if n == 0:
             return []
+        held, whole = texts, np.zeros(n, dtype=bool)
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        if whole.any():
+            texts = pc.if_else(pa.array(whole), "", texts)
         cut = pc.split_pattern(texts, " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         d = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -127,6 +133,8 @@ class Encoder:
         for k in np.flatnonzero(bad):
             s = texts[int(k)].as_py()
             out[k] = self._slow(s) if s else np.empty(0, dtype="<u2")
+        for k in np.flatnonzero(whole):  # the library finds added tokens before it cuts
+            out[k] = np.array(self.tok.encode(held[k].as_py(), add_special_tokens=False).ids, dtype="<u2")
         return out
 
 

@@ -28,6 +28,16 @@ def test_odd_texts():
         assert list(got) == direct(t), t
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(TOKENIZER)  # the library's defaults, whatever the encoder sets
+    texts = ["end <|endoftext|> next", "plain a b", "<|endoftext|>", None, "a<|endoftext|><|endoftext|> b  c", "<|endoftext"]
+    got = [list(x) for x in ENC.encode(pa.array(texts))]
+    assert got[0] == [437, 220, 50256, 1306]
+    assert got == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\n\t'.,1_😀", max_size=25), min_size=1, max_size=6))
 def test_any_text(texts):
