@@ -79,16 +79,21 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, count: str, pa
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): connected components of undirected edges by distributed union-find.
 
-    Large-star and small-star steps alternate on tables of edges until nothing changes; each
-    step is two shuffles of two numbers an edge, so no component is held by one task. root is
-    the least node of the component. Self-loops and repeated edges are allowed. Nodes must not
-    be null."""
+    Large-star and small-star steps alternate on tables of edges until they are stars: each step
+    is two shuffles of two numbers an edge, so no component is held by one task. root is the
+    least node of the component. Self-loops and repeated edges are allowed. Nodes must not be
+    null. The result is a written table."""
     spark = edges.sparkSession
     cur = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
-    seen = None
     for _ in range(rounds):
+        # stars: nobody has two edges down, nor one down and one up
+        ends = cur.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.unionAll(cur.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if ends.where("down > 1 or (down = 1 and up = 1)").isEmpty():
+            break
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -101,17 +106,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             .distinct()
         )
         new = materialise(small)
-        now = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         delete(cur, spark)
         cur = new
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out = materialise(out)
+    delete(cur, spark)
+    return out
+
+
+def nested(docs: DataFrame, name: str = "d") -> Column:
+    """A row of `docs` as one struct column, so that its columns' names can't clash with others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def unnested(df: DataFrame, docs: DataFrame, new: dict[str | None, Column], name: str = "d") -> DataFrame:
+    """The columns of `docs` out of the struct that `nested` made, those in `new` replaced (cast to
+    the old type); names in `new` that `docs` hasn't are passed over."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return df.select(*[(new[c].cast(kinds[c]) if c in new else F.col(name).getField(c)).alias(c) for c in docs.columns])
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,23 +12,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import components, delete, materialise, release_shuffles
+from pagewright.llm.common import components, delete, materialise, nested, release_shuffles, unnested
 from pagewright.llm.tokens import slices
 
-BINS, BANDS, ROWS, SHINGLE, _TASK = 64, 12, 5, 5, 64
+BINS, BANDS, ROWS, SHINGLE = 64, 12, 5, 5
+#: Characters of lines that one group of candidates holds; blocks of a larger band hold half as many.
+GROUP = 1 << 20
 
 
 def _shingles(points: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of every run of n code points."""
+    p = points.astype(np.uint64)
+    m = max(0, len(p) - n + 1)
+    h = p[:m].copy()
     with np.errstate(over="ignore"):
-        h = np.zeros(max(0, len(points) - n + 1), dtype=np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + points[k : k + len(h)].astype(np.uint64) + np.uint64(1)
-        h ^= h >> np.uint64(31)
+        for k in range(1, n):
+            h *= np.uint64(0x100000001B3)
+            h += p[k : k + m]
         h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+        h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ h >> np.uint64(32)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def signatures(lines: list[str], n: int = SHINGLE) -> np.ndarray:
@@ -39,21 +46,26 @@ def signatures(lines: list[str], n: int = SHINGLE) -> np.ndarray:
         points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         h = _shingles(points, n)
         size = np.array([len(x) for x in lines], dtype=np.int64)
+        bins = (h >> np.uint64(58)).astype(np.int64)
+        bins += np.repeat(np.arange(len(lines)) * BINS, size)[: len(h)]
         ends = np.cumsum(size)
-        owner = np.repeat(np.arange(len(lines)), size)[: len(h)]
-        inside = np.arange(len(h)) + n <= ends[owner]  # no shingle runs into the next line
-        h, owner = h[inside], owner[inside]
-        np.minimum.at(out, owner * BINS + (h >> np.uint64(58)).astype(np.int64), h)
+        for k in range(1, n):  # shingles that run into the next line
+            at = ends - k
+            h[at[(at >= 0) & (at < len(h))]] = none
+        np.minimum.at(out, bins, h)
     out = out.reshape(len(lines), BINS)
-    filled = out.copy()
+    rows = np.flatnonzero((out == none).any(1))
+    some = out[rows]
+    filled = some.copy()
     with np.errstate(over="ignore"):
         for k in range(1, BINS):
             empty = filled == none
             if not empty.any():
                 break
-            moved = np.roll(out, -k, axis=1)
+            moved = np.roll(some, -k, axis=1)
             filled = np.where(empty & (moved != none), moved + np.uint64(k) * np.uint64(0x632BE59BD9B4E019), filled)
-    return filled
+    out[rows] = filled
+    return out
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -70,90 +82,167 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, h, bands) of the lines that aren't blank; docs has doc_id, row, text."""
+    """(doc_id, row, line_no, h, chars, bands) of the lines that aren't blank; docs has doc_id, row,
+    text. A document with lines has one more row, of line_no -1, whose h stands for the document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
-            for a, z in slices(texts, 1 << 20):
-                of, no, lines = [], [], []
+            for a, z in slices(texts, 1 << 18):
+                of, no, lines, digests = [], [], [], []
+                rows = batch.column(1).slice(a, z - a).to_pylist()
                 for k, t in enumerate(texts.slice(a, z - a).to_pylist()):
+                    if t and t.strip():
+                        of.append(a + k)
+                        no.append(-1)
+                        lines.append("")
+                        digests.append(xxhash.xxh3_128_digest(rows[k].to_bytes(8, "little", signed=True), seed=1))
                     for i, x in enumerate((t or "").split("\n")):
                         if x.strip():
                             of.append(a + k)
                             no.append(i)
                             lines.append(x)
-                bands = band_hashes(signatures([x.lower() for x in lines]))
-                short = np.array([len(x.lower()) < SHINGLE for x in lines], dtype=bool)
-                lens = np.where(short, 0, BANDS)
-                flat = pa.array(bands[~short].reshape(-1), pa.int64())
+                            digests.append(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")))
+                low = [x.lower() for x in lines]
+                size = np.array([len(x) for x in low], dtype=np.int64)
+                bands = band_hashes(signatures(low))[size >= SHINGLE]
+                ends = np.concatenate([[0], np.cumsum(np.where(size >= SHINGLE, BANDS, 0))])
                 take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), flat)],
-                    ["doc_id", "row", "line_no", "h", "bands"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1), pa.int64()))],
+                    ["doc_id", "row", "line_no", "h", "chars", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, bands array<long>")
-
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, chars long, bands array<long>")
 
-def _with_bands(lines: DataFrame) -> DataFrame:
-    """Adds bands to (id, line)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, z in slices(batch.column(1), 1 << 20):
-                part = batch.slice(a, z - a)
-                got = band_hashes(signatures(part.column(1).to_pylist())).reshape(-1)
-                ends = pa.array(np.arange(0, len(got) + 1, BANDS), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(got, pa.int64()))], ["id", "line", "bands"])
+def _groups(texts: DataFrame) -> DataFrame:
+    """(id, g, x, y, side, mask): the groups in which a line meets those that share a band with it.
 
-    return lines.mapInArrow(run, "id long, line string, bands array<long>")
+    All lines of a band meet in the band's home: the least line that its members know of, a
+    member knowing the least lines of all its bands. So the bands of a family of lines mostly
+    have one home, and a line is sent there once. mask: which of its bands have that home. A
+    home with too many characters falls apart into its bands, and a band that is still too large
+    into pairs (x, y) of hash blocks, where the line is on the left (side 1), the right (2) or
+    both (3)."""
+    # a band's number is in its lowest bits
+    rows = texts.select("id", "chars", F.explode(F.transform("bands", lambda x, i: F.shiftleft(x, 4).bitwiseOR(i.cast("long")))).alias("band"))
+    bands = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("band", "least")
+    # hashed, not sorted: nearly all rows only pass by
+    members = materialise(rows.join(bands.hint("shuffle_hash"), "band"))
+    known = members.groupBy("id").agg(F.min("least").alias("known"))
+    home = members.join(known, "id").groupBy("band").agg(F.min("known").alias("home"))
+    members = members.join(home, "band")
+    bit = F.expr("shiftleft(1, cast(band & 15 as int))")
+    own = materialise(members.groupBy("id", "home").agg(F.bit_or(bit).alias("mask"), F.first("chars").alias("chars"), F.collect_list("band").alias("bands")))
+    large = own.groupBy("home").agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select("home")
+    whole = own.join(large, "home", "left_anti").select("id", F.col("home").alias("g"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(3).alias("side"), "mask")
+    some = own.join(large, "home").select("id", "chars", F.explode("bands").alias("g"))
+    parts = some.groupBy("g").agg(F.ceil(F.sum("chars") * 2 / GROUP).cast("int").alias("parts"))
+    some = some.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id", "g"), F.col("parts")).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") < F.col("other"), 1).when(F.col("part") > F.col("other"), 2).otherwise(3)
+    some = some.select("id", "g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), F.expr("shiftleft(1, cast(g & 15 as int))").alias("mask"))
+    return whole.unionByName(some)
+
+
+def _sets(lines: list[str]) -> Callable[[int], np.ndarray | frozenset[str]]:
+    """A function that makes the set of shingles of a line, once: sorted numbers that hold a
+    shingle's characters themselves, in 12 bits each, after the group's characters are numbered if
+    need be; of text with more than 4,096 different characters, a set of strings."""
+    low = [x.lower() for x in lines]
+    points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in low]
+    alphabet = None
+    if max(int(p.max()) for p in points) >> 12:
+        alphabet = np.unique(np.concatenate(points))
+    made: dict[int, np.ndarray | frozenset[str]] = {}
+
+    def of(k: int) -> np.ndarray | frozenset[str]:
+        if k not in made:
+            if alphabet is not None and len(alphabet) >> 12:
+                made[k] = frozenset(low[k][j : j + SHINGLE] for j in range(len(low[k]) - SHINGLE + 1))
+            else:
+                p = (points[k] if alphabet is None else np.searchsorted(alphabet, points[k])).astype(np.uint64)
+                m = len(p) - SHINGLE + 1
+                x = p[:m].copy()
+                for j in range(1, SHINGLE):
+                    x <<= np.uint64(12)
+                    x |= p[j : j + m]
+                x.sort()
+                made[k] = x[np.append(True, x[1:] != x[:-1])]
+        return made[k]
+
+    return of
+
+
+def _common(x: np.ndarray | frozenset[str], y: np.ndarray | frozenset[str]) -> int:
+    if isinstance(x, frozenset):
+        return len(x & y)
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _links(rows: list[tuple[int, int, int, list[int], str]], threshold: float) -> list[tuple[int, int, int]]:
+    """(id, root, links) of the linked lines of a group of (id, side, mask, bands, line).
+
+    A pair counts in the first band that it shares, so in one group only. root is the least line
+    that the group's links lead to."""
+    buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for k, (_, _, mask, bands, _) in enumerate(rows):
+        for i in range(BANDS):
+            if mask >> i & 1:
+                buckets[i, bands[i]].append(k)
+    of = _sets([r[4] for r in rows]) if rows else None
+    up, count = list(range(len(rows))), [0] * len(rows)
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for (i, _), members in buckets.items():
+        for p, q in combinations(members, 2):
+            a, b = rows[p], rows[q]
+            if a[1] | b[1] != 3 or any(a[3][j] == b[3][j] for j in range(i)):
+                continue
+            x, y = of(p), of(q)
+            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                continue
+            common = _common(x, y)
+            if common >= threshold * (len(x) + len(y) - common):
+                count[p] += 1
+                count[q] += 1
+                p, q = sorted((find(p), find(q)))
+                up[q] = p
+    return [(r[0], rows[find(k)][0], count[k]) for k, r in enumerate(rows) if count[k]]
 
 
 def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a task's lines with exact Jaccard similarity from the threshold on.
-
-    tasks: (task, no, left, right, id, line, bands), sorted by task; no: which band it is. A line
-    is on the left side, the right or both; at most some 64 lines are on either. A pair is
-    verified in the first band that it shares, and shingles are only made for pairs to verify."""
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        no = rows[0][1]
-        left, right = [r for r in rows if r[2]], [r for r in rows if r[3]]
-        same = np.array([r[6] for r in left])[:, None, : no + 1] == np.array([r[6] for r in right])[None, :, : no + 1]
-        todo = np.argwhere(same[:, :, no] & ~same[:, :, :no].any(2)).tolist()
-        sets: dict[int, frozenset[str]] = {}
-        out = set()
-        for i, j in todo:
-            a, b = left[i], right[j]
-            if a[4] == b[4]:
-                continue
-            for r in (a, b):
-                if r[4] not in sets:
-                    sets[r[4]] = frozenset(r[5][k : k + SHINGLE] for k in range(len(r[5]) - SHINGLE + 1))
-            x, y = sets[a[4]], sets[b[4]]
-            if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                common = len(x & y)
-                if common >= threshold * (len(x) + len(y) - common):
-                    out.add((min(a[4], b[4]), max(a[4], b[4])))
-        return sorted(out)
+    """(id, root, n): links found in each group; tasks: (g, x, y, id, side, mask, bands, line), a
+    group's rows together and sorted by id. Repeated rows of a line in a group count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        group = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    found += links(held)
-                    held = []
-                held.append(row)
+            found: list[tuple[int, int, int]] = []
+            c = dict(zip(batch.schema.names, batch.columns))
+            bands = c["bands"].flatten().to_numpy().reshape(-1, BANDS).tolist()
+            for *at, id_, side, mask, b, line in zip(*(c[k].to_pylist() for k in ("g", "x", "y", "id", "side", "mask")), bands, c["line"].to_pylist()):
+                if at != group:
+                    found += _links(held, threshold)
+                    held, group = [], at
+                if not held or held[-1][0] != id_:
+                    held.append((id_, side, mask, b, line))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-        if held and (found := links(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "root", "n"])
+        if found := _links(held, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "root", "n"])
 
-    return tasks.mapInArrow(run, "a long, b long")
+    return tasks.mapInArrow(run, "id long, root long, n long")
 
 
 def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -167,93 +256,82 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     document id, then by a hash of the document, then by line number.
 
     Candidates share one of 12 bands of 5 MinHash values: a pair right at the threshold is found
-    with probability 0.99. A pair is verified in the first band that it shares, in blocks of
-    64 lines, so a group is spread over tasks whatever its size, and only links leave
-    them; copies are merged, partly before the shuffle, so a line that half of all documents have
-    is one row. Lines of fewer than 5 characters only equal each other."""
+    with probability 0.99. Lines that share bands are sent to common groups (see _groups), whose
+    size is bounded; every pair that shares a band is verified once; only a forest of the links
+    and their numbers leave a group. Copies are merged, partly before the shuffle, so a line that
+    half of all documents have is one row. Lines of fewer than 5 characters only equal each
+    other."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     where = F.struct("doc_id", "row", "line_no")
-    texts = line_table(src).groupBy("h").agg(F.min(where).alias("at"), F.any_value("bands").alias("bands"))
-    texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "at.*", "bands"))
+    texts = line_table(src).groupBy("h").agg(F.min(where).alias("at"), F.any_value("chars").alias("chars"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "at.*", "chars", "bands", "copies"))
     release_shuffles(spark)
-    # a band's number is in its lowest bits
-    rows = texts.select("id", F.explode(F.transform("bands", lambda x, i: F.shiftleft(x, 4).bitwiseOR(i.cast("long")))).alias("band"))
-    bands = materialise(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    release_shuffles(spark)
-    members = materialise(rows.join(bands, "band"))
-    release_shuffles(spark)
-    # only the members' texts are fetched, each document once; bands are made again from them,
-    # which is cheaper than to send them along
-    need = members.select("id").distinct().join(texts.drop("bands"), "id").groupBy("row").agg(F.collect_list(F.struct("id", "line_no")).alias("want"))
-    with_text = src.select("row", "text").dropDuplicates(["row"]).join(need, "row")
-    with_text = with_text.select(F.split("text", "\n", -1).alias("lines"), "want").select("lines", F.explode("want").alias("w"))
-    lines = materialise(_with_bands(with_text.select("w.id", F.lower(F.get("lines", F.col("w.line_no"))).alias("line"))))
+    repeated = texts.where("line_no < 0 and copies > 1").select("row").distinct().withColumn("again", F.lit(True))
+    texts = texts.where("line_no >= 0")
+    groups = _groups(texts).groupBy("id").agg(F.collect_list(F.struct("g", "x", "y", "side", "mask")).alias("groups"))
+    # only the candidates' texts are fetched, each document once; a repeated row sends its lines again
+    need = groups.join(texts, "id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("id", "line_no", "bands", "groups")).alias("want"))
+    need = materialise(need.join(repeated, "row", "left"))
     release_shuffles(spark)
-    # block pairs of a band's members: (x, y) with x <= y; hash blocks of about 64 members
-    parts = F.ceil(F.col("n") / _TASK).cast("int")
-    spread = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = spread.withColumn("other", other).select(
-        "id",
-        F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
-        (F.col("part") <= F.col("other")).alias("left"),
-        (F.col("part") >= F.col("other")).alias("right"),
-        F.col("band").bitwiseAND(15).cast("int").alias("no"),
-    )
-    tasks = pairs.join(lines, "id").select("task", "no", "left", "right", "id", "line", "bands").repartition("task").sortWithinPartitions("task")
-    links = materialise(_verify(tasks, threshold).distinct())
-    for t in (lines, members, bands):
-        delete(t, spark)
+
+    def fetched(need: DataFrame) -> DataFrame:
+        n = need.select(F.col("doc_id").alias("of"), F.col("row").alias("key"), "want").hint("shuffle_hash")
+        got = src.join(n, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+        got = got.select(F.split("text", "\n", -1).alias("lines"), F.explode("want").alias("w"))
+        return got.select("w.id", "w.bands", "w.groups", F.get("lines", F.col("w.line_no")).alias("line"))
+
+    lines = fetched(need.where("again is null")).unionByName(fetched(need.where("again")).dropDuplicates(["id"]))
+    tasks = lines.select("id", "bands", "line", F.explode("groups").alias("t")).select("t.*", "id", "bands", "line")
+    tasks = tasks.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "id")
+    found = materialise(_verify(tasks, threshold))
+    delete(need, spark)
     release_shuffles(spark)
-    roots = materialise(components(links))
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    of = roots.join(texts.select("id", where.alias("at")), roots["node"] == texts["id"])
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    of = roots.join(texts.select("id", where.alias("at")), roots["node"] == F.col("id")).select("root", "id", "at")
     keeper = of.groupBy("root").agg(F.min(F.struct("at", "id"))["id"].alias("keeper"))
-    known = roots.join(keeper, "root").select(F.col("node").alias("id"), "keeper").join(ends, "id", "left")
-    stays = F.col("keeper").isNull() | (F.col("keeper") == F.col("id"))
-    return (
-        texts.drop("bands")
-        .join(known, "id", "left")
-        .groupBy("doc_id", "row")
-        .agg(F.collect_list(F.when(stays, F.col("line_no"))).alias("kept"), F.count_if(~stays).alias("n_fuzzy"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
-    )
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """All rows and columns of `docs` with the lines that stay, and _n_lines, _n_kept, _n_fuzzy and
-    _n_links (see analyse). Blank lines stay where they are. Null text stays null and has no
-    lines; rows that repeat with their id and text are one document and all keep the same lines;
-    null ids are ids like any other; no rows give none."""
-    got = analyse(docs, id_col, text_col, **kw).select(F.col("row").alias("_row"), F.col("doc_id").alias("_of"), F.col("kept").alias("_kept"), F.col("n_fuzzy").alias("_fuzzy"), F.col("n_links").alias("_links"))
-    src = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
+    links = found.groupBy("id").agg(F.sum("n").alias("links"))
+    linked = of.join(keeper, "root").join(links, "id").select("at.*", (F.col("id") != F.col("keeper")).alias("goes"), "links")
+    every = texts.select("doc_id", "row", "line_no", F.lit(None).cast("boolean").alias("goes"), F.lit(0).cast("long").alias("links")).unionByName(linked)
+    first, gone = F.collect_list(F.when(F.col("goes").isNull(), F.col("line_no"))), F.collect_list(F.when(F.col("goes"), F.col("line_no")))
+    return every.groupBy("doc_id", "row").agg(F.array_except(first, gone).alias("kept"), F.count_if("goes").alias("n_fuzzy"), F.sum("links").alias("n_links"))
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
+    """(d, text, n_lines, n_kept, n_fuzzy, n_links): each row of `docs` as a struct, with the lines
+    of its text that stay (see analyse). Blank lines stay where they are. Null text stays null and
+    has no lines; rows that repeat with their id and text are one document and all keep the same
+    lines; null ids are ids like any other; no rows give none."""
+    got = analyse(docs, id_col, text_col, **kw).select(F.col("doc_id").alias("of"), F.col("row").alias("key"), "kept", "n_fuzzy", "n_links")
+    src = docs.select(nested(docs), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("whole"))
     # hashed, not sorted: the side with the texts is only streamed and spills nothing
-    j = src.join(got.hint("shuffle_hash"), (F.col("_row_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
+    j = src.join(got.hint("shuffle_hash"), (F.col("row") == F.col("key")) & F.col("id").eqNullSafe(F.col("of")), "left")
     # as Python's strip sees it, only for deciding which lines count
     blank = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
-    j = j.withColumn("_lines", F.split(text_col, "\n", -1))
-    kept = F.filter("_lines", lambda x, i: x.rlike(blank) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
-    count = F.coalesce(F.size(F.filter("_lines", lambda x: ~x.rlike(blank))), F.lit(0)).cast("long")
-    new = {
-        text_col: F.array_join(kept, "\n"),
-        "_n_lines": F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(count),
-        "_n_kept": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long"),
-        "_n_fuzzy": F.coalesce("_fuzzy", F.lit(0)).cast("long"),
-        "_n_links": F.coalesce("_links", F.lit(0)).cast("long"),
-    }
-    return j.withColumns(new).select(*docs.columns, "_n_lines", "_n_kept", "_n_fuzzy", "_n_links")
+    none = F.array().cast("array<int>")
+    j = j.withColumns({"lines": F.split("whole", "\n", -1), "kept": F.coalesce("kept", none)})
+    j = j.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(blank), i)), lambda i: i.isNotNull()))
+    stay = F.transform(F.array_sort(F.array_union("kept", "blank")), lambda i: F.get("lines", i))
+    n = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    return j.select(
+        "d",
+        F.array_join(stay, "\n").alias("text"),
+        F.when(F.col("whole").isNull(), zero).otherwise(n).alias("n_lines"),
+        F.size("kept").cast("long").alias("n_kept"),
+        F.coalesce("n_fuzzy", zero).alias("n_fuzzy"),
+        F.coalesce("n_links", zero).alias("n_links"),
+    )
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(doc_id, text, n_lines, n_kept, n_fuzzy, n_links) of every row; text: the lines that stay."""
-    out = dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", **kw)
-    return out.select("doc_id", "text", *[F.col(f"_{c}").alias(c) for c in ("n_lines", "n_kept", "n_fuzzy", "n_links")])
+    out = _deduplicated(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", **kw)
+    return out.select("d.doc_id", "text", "n_lines", "n_kept", "n_fuzzy", "n_links")
 
 
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **kw) -> DataFrame:
     """The columns of `docs` with the lines that stay. A document of which no line stays goes;
     length_col, if there, is the new text's length."""
-    out = dedup(docs, id_col, text_col, **kw).where("_n_kept > 0")
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    out = _deduplicated(docs, id_col, text_col, **kw).where("n_kept > 0")
+    return unnested(out, docs, {text_col: F.col("text"), length_col: F.length("text")})

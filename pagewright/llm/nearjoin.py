@@ -121,7 +121,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     delete(sets, spark)
     delete(nodes, spark)
 
-    roots = materialise(components(links))
+    roots = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     tree = roots.join(sigs.select("id", "rep"), roots["node"] == sigs["id"])
     least = tree.groupBy("root").agg(F.min("rep").alias("least"))

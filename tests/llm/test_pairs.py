@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,7 +68,11 @@ def test_near_join(spark):
     assert nearjoin.classes(empty(spark)).count() == 0 and nearjoin.keep_one(empty(spark)).count() == 0
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("group", [1 << 20, 500])
+def test_line_dedup(spark, monkeypatch, group):
+    """The lines that stay, and the links, as brute force has them; with the small group size most
+    homes fall apart into bands and blocks."""
+    monkeypatch.setattr(linededup, "GROUP", group)
     rows = corpus()
     got = linededup.report(frame(spark)).collect()
     assert len(got) == len(rows)
@@ -100,6 +105,26 @@ def test_line_dedup(spark):
     assert linededup.report(empty(spark)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abİ日é", min_size=5, max_size=14), min_size=1, max_size=6), st.booleans())
+def test_shingle_sets(lines, wide):
+    """Similarities are those of sets of strings, whatever the alphabet."""
+    lines = lines + ["".join(map(chr, range(0x4E00, 0x4E00 + 5000)))] * wide
+    of, low = linededup._sets(lines), [x.lower() for x in lines]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in low]
+    for i, x in enumerate(sets):
+        assert len(of(i)) == len(x)
+        assert all(linededup._common(of(i), of(j)) == len(x & y) for j, y in enumerate(sets))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abc d", max_size=12), min_size=1, max_size=8))
+def test_signatures_one_by_one(lines):
+    """A line's signature doesn't depend on the lines beside it."""
+    got = linededup.signatures(lines)
+    assert all((got[i] == linededup.signatures([x])[0]).all() for i, x in enumerate(lines))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(-30, 30), min_size=4, max_size=4), min_size=1, max_size=60), st.integers(1, 12))
 def test_index(vectors, k):
