@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,12 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import components, delete, materialise, nested, release_shuffles, unnested
+from pagewright.llm.common import bound, components, delete, materialise, nested, release_shuffles, unnested
 from pagewright.llm.tokens import slices
 
 BINS, BANDS, ROWS, SHINGLE = 64, 12, 5, 5
-#: Characters of lines that one group of candidates holds; blocks of a larger band hold half as many.
-GROUP = 1 << 20
+#: Characters of lines, counted once a band, that one group of candidates holds; blocks of a
+#: larger band hold half as many.
+GROUP = 1 << 22
 
 
 def _shingles(points: np.ndarray, n: int) -> np.ndarray:
@@ -123,9 +125,9 @@ def _groups(texts: DataFrame) -> DataFrame:
     All lines of a band meet in the band's home: the least line that its members know of, a
     member knowing the least lines of all its bands. So the bands of a family of lines mostly
     have one home, and a line is sent there once. mask: which of its bands have that home. A
-    home with too many characters falls apart into its bands, and a band that is still too large
-    into pairs (x, y) of hash blocks, where the line is on the left (side 1), the right (2) or
-    both (3)."""
+    home with too many characters falls apart by the least lines of its bands, what is still too
+    large into its bands, and a large band into pairs (x, y) of hash blocks, where the line is on
+    the left (side 1), the right (2) or both (3)."""
     # a band's number is in its lowest bits
     rows = texts.select("id", "chars", F.explode(F.transform("bands", lambda x, i: F.shiftleft(x, 4).bitwiseOR(i.cast("long")))).alias("band"))
     bands = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("band", "least")
@@ -133,18 +135,22 @@ def _groups(texts: DataFrame) -> DataFrame:
     members = materialise(rows.join(bands.hint("shuffle_hash"), "band"))
     known = members.groupBy("id").agg(F.min("least").alias("known"))
     home = members.join(known, "id").groupBy("band").agg(F.min("known").alias("home"))
-    members = members.join(home, "band")
-    bit = F.expr("shiftleft(1, cast(band & 15 as int))")
-    own = materialise(members.groupBy("id", "home").agg(F.bit_or(bit).alias("mask"), F.first("chars").alias("chars"), F.collect_list("band").alias("bands")))
-    large = own.groupBy("home").agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select("home")
-    whole = own.join(large, "home", "left_anti").select("id", F.col("home").alias("g"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(3).alias("side"), "mask")
-    some = own.join(large, "home").select("id", "chars", F.explode("bands").alias("g"))
-    parts = some.groupBy("g").agg(F.ceil(F.sum("chars") * 2 / GROUP).cast("int").alias("parts"))
-    some = some.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id", "g"), F.col("parts")).cast("int"))
-    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = materialise(members.join(home, "band"))
+    delete(members, texts.sparkSession)
+    bit = F.bit_or(F.expr("shiftleft(1, cast(band & 15 as int))")).alias("mask")
+    out = []
+    for level, key in enumerate(("home", "least", "band")):
+        large = rest.groupBy(key).agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select(key)
+        own = rest.join(large, key, "left_anti").groupBy("id", F.col(key).alias("g")).agg(bit)
+        out.append(own.select("id", "g", F.lit(level - 3).alias("x"), F.lit(-1).alias("y"), F.lit(3).alias("side"), "mask"))
+        rest = rest.join(large, key)
+    parts = rest.groupBy("band").agg(F.ceil(F.sum("chars") * 2 / GROUP).cast("int").alias("parts"))
+    rest = rest.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") < F.col("other"), 1).when(F.col("part") > F.col("other"), 2).otherwise(3)
-    some = some.select("id", "g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), F.expr("shiftleft(1, cast(g & 15 as int))").alias("mask"))
-    return whole.unionByName(some)
+    mask = F.expr("shiftleft(1, cast(band & 15 as int))")
+    out.append(rest.select("id", F.col("band").alias("g"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), mask.alias("mask")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _sets(lines: list[str]) -> Callable[[int], np.ndarray | frozenset[str]]:
@@ -278,8 +284,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     def fetched(need: DataFrame) -> DataFrame:
         n = need.select(F.col("doc_id").alias("of"), F.col("row").alias("key"), "want").hint("shuffle_hash")
         got = src.join(n, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-        got = got.select(F.split("text", "\n", -1).alias("lines"), F.explode("want").alias("w"))
-        return got.select("w.id", "w.bands", "w.groups", F.get("lines", F.col("w.line_no")).alias("line"))
+        line = bound(F.split("text", "\n", -1), lambda x: F.transform("want", lambda w: F.struct(w["id"].alias("id"), w["bands"].alias("bands"), w["groups"].alias("groups"), F.get(x, w["line_no"]).alias("line"))))
+        return got.select(F.explode(line).alias("w")).select("w.*")
 
     lines = fetched(need.where("again is null")).unionByName(fetched(need.where("again")).dropDuplicates(["id"]))
     tasks = lines.select("id", "bands", "line", F.explode("groups").alias("t")).select("t.*", "id", "bands", "line")
@@ -303,9 +309,9 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFram
     has no lines; rows that repeat with their id and text are one document and all keep the same
     lines; null ids are ids like any other; no rows give none."""
     got = analyse(docs, id_col, text_col, **kw).select(F.col("doc_id").alias("of"), F.col("row").alias("key"), "kept", "n_fuzzy", "n_links")
-    src = docs.select(nested(docs), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("whole"))
+    src = docs.select(nested(docs), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"))
     # hashed, not sorted: the side with the texts is only streamed and spills nothing
-    j = src.join(got.hint("shuffle_hash"), (F.col("row") == F.col("key")) & F.col("id").eqNullSafe(F.col("of")), "left")
+    j = src.join(got.hint("shuffle_hash"), (F.col("row") == F.col("key")) & F.col("id").eqNullSafe(F.col("of")), "left").withColumn("whole", F.col("d").getField(text_col))
     # as Python's strip sees it, only for deciding which lines count
     blank = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
     none = F.array().cast("array<int>")
