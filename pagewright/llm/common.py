@@ -18,10 +18,13 @@ _OWN = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's address below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent (a local session, as in the tests) a folder of this
-    machine is set for the rest of the session."""
+    Only where the setting is absent and all executors run in this process, as in the tests, a
+    folder of this machine is set for the rest of the session; on a cluster that is an error."""
     base = spark.conf.get(_OWN, None) or spark.sparkContext.getConf().get(_OWN)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{_OWN} must name a folder that all executors share; master is {master}")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set(_OWN, base)
     return f"{base.rstrip('/')}/pagewright-{uuid.uuid4().hex}"
@@ -54,13 +57,6 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """Keys that hold at least 1/parts of all rows: so at most `parts` rows, whatever the data."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") * parts >= F.col("_all")).select(key)
-
-
 def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 256) -> DataFrame:
     """left join of `right`, which has one row a key and in `count` the rows that `left` has of it.
 

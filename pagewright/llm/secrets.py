@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from pagewright.llm.common import materialise, shared_dir, skew_safe_lookup
+from pagewright.llm.common import bound, materialise, shared_dir, skew_safe_lookup
 
 
 @dataclass(frozen=True)
@@ -41,25 +41,44 @@ RULES = BASE + (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
-_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: What the ledger keeps: a rule's place and name come from the rules of the scan that reads it.
+_SPANS = "array<struct<start:int,end:int,version:string>>"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """(start, rank, kind, end) of a rule's matches, in code points, by what lies between them."""
+def running(lengths: Column) -> Column:
+    """The sums of the ints before each of an array's. Blocks of about the square root of their
+    number are summed apart, so a long array isn't copied once an element."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def inside(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocks(x: Column) -> Column:
+        per = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), per)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: inside(F.slice(x, k, per)))
+
+    def shifted(parts: Column) -> Column:
+        offsets = inside(F.transform(parts, lambda p: p["at"]))["out"]
+        return bound(offsets, lambda o: F.flatten(F.transform(parts, lambda p, i: F.transform(p["out"], lambda n: n + F.get(o, i)))))
+
+    return bound(bound(lengths, blocks), shifted)
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """(start, end, version) of a rule's matches, in code points, by what lies between them."""
     pattern = F.lit(rule.pattern)
     whole, group = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    rows = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("m"), group.alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    sizes = F.zip_with(whole, group, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
+    gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)), lambda g: F.length(g))
+    rows = F.zip_with(gaps, sizes, lambda gap, m: F.struct(gap.alias("gap"), m["m"].alias("m"), m["g"].alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = F.length(x["g"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def located(r: Column) -> Column:
+        one = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["m"]).alias("end"), F.lit(rule.version).alias("version"), x["g"].alias("g"))
+        every = F.zip_with(r, running(F.transform(r, lambda x: x["gap"] + x["m"])), one)
+        return F.transform(F.filter(every, lambda x: x["g"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["version"].alias("version")))
 
-    found = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(rule.pattern), bound(rows, located)).otherwise(F.array().cast(_SPANS))
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +92,16 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan(versions: DataFrame, path_col: str, text_col: str, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, spans) of every row of `versions`, which may hold any number of versions of a path.
+    """(path, spans) of every row of `versions`, which may hold any number of versions of a path;
+    spans: (start, rank, kind, end) by start and by the rule's place in `rules`.
 
     Contents are addressed by SHA-256. Only contents, and rules for a content, that the ledger
     hasn't seen are scanned, each content once however many rows have it; what is found, or that
-    nothing is, is appended to the ledger, and joined back to all rows. Copies are merged before
-    they are shuffled, and contents that many rows share are looked up by broadcast. Null text
-    is empty; null and repeated paths are carried along."""
+    nothing is, is appended to the ledger, and joined back to all rows. Ledger spans carry their
+    rule's version, and only those of the versions in `rules` come back, so a rule that was
+    changed, dropped or moved leaves nothing of its former self. Copies are merged before they
+    are shuffled, and contents that many rows share are looked up by broadcast. Null text is
+    empty; null and repeated paths are carried along; no rows give none."""
     spark = versions.sparkSession
     known = [r.version for r in rules]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -89,14 +111,16 @@ def scan(versions: DataFrame, path_col: str, text_col: str, ledger: str, rules:
     todo = F.array_except(F.array(*map(F.lit, known)), F.coalesce("seen", F.array().cast("array<string>")))
     blobs = blobs.withColumn("versions", todo).where(F.size("versions") > 0)
     none = F.array().cast(_SPANS)
-    found = F.concat(*[F.when(F.array_contains("versions", r.version), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)])
+    found = F.concat(*[F.when(F.array_contains("versions", r.version), spans(F.col("text"), r)).otherwise(none) for r in rules])
     blobs.select("blob", "versions", found.alias("spans")).write.mode("append").parquet(ledger)
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    place = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.version), F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("kind")))])
+    named = lambda s: F.struct(s["start"].alias("start"), place[s["version"]]["rank"].alias("rank"), place[s["version"]]["kind"].alias("kind"), s["end"].alias("end"))
+    current = F.array(*map(F.lit, known))
     all_found = (
         _ledger(spark, ledger)
-        .where(F.arrays_overlap("versions", F.array(*map(F.lit, known))))
+        .where(F.arrays_overlap("versions", current))
         .groupBy("blob")
-        .agg(F.array_sort(F.filter(F.flatten(F.collect_list("spans")), lambda s: F.array_contains(kinds, s["kind"]))).alias("spans"))
+        .agg(F.array_sort(F.array_distinct(F.transform(F.filter(F.flatten(F.collect_list("spans")), lambda s: F.array_contains(current, s["version"])), named))).alias("spans"))
     )
     keys = materialise(rows.select("path", "blob"))
     found = keys.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).join(all_found, "blob")

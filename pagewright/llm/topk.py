@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,12 @@ from pagewright.llm.common import bucket_count, materialise, release_shuffles
 LEVELS, BATCHES = 24, 8
 
 
-def quantised(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component, x as double; null for a vector that is null or has a
-    null, non-finite or (beyond 2^31) huge component."""
-    x = F.transform(vector, lambda v: v.cast("double") * scale)
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 31)))
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(x, lambda v: F.floor(v).cast("long")))
+def scaled(vector: Column, scale: int = 1024) -> Column:
+    """scale * x of each component, x as double, of which the floor is the quantised component;
+    null for a vector that is null or has a null or non-finite component."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.when(F.coalesce(good, F.lit(False)), F.transform(x, lambda v: v * scale))
 
 
 class Index:
@@ -46,6 +47,11 @@ class Index:
         but the possible members are proven to be below the k-th lower bound; these are scored
         exactly."""
         n, dims = self.m.shape
+        if n <= 4 * k or not dims:  # nothing to gain from an index
+            rows = np.delete(np.arange(n), skip)
+            score = self.m[rows] @ q
+            best = np.lexsort((keys[rows], -score))[:k]
+            return rows[best], score[best]
         a, b = q[:, None] * self.lo, q[:, None] * self.hi
         base = np.minimum(a, b).min(1)  # least contribution of each dimension
         most, least = np.maximum(a, b) - base[:, None], np.minimum(a, b) - base[:, None]
@@ -58,14 +64,14 @@ class Index:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         segments, width = most.shape[1], np.diff(self.cuts)
         done = np.zeros_like(most, dtype=bool)
-        parts = np.array_split(order, BATCHES)
+        parts = np.array_split(order, min(BATCHES, len(order)))
         for turn, part in enumerate(parts):
             d, j = np.divmod(part, segments)
             rows = np.concatenate([self.order[x, self.cuts[y] : self.cuts[y + 1]] for x, y in zip(d.tolist(), j.tolist())])
             np.add.at(acc, rows, np.repeat(least[d, j], width[j]))
             np.add.at(gap, rows, np.repeat(most[d, j] - least[d, j], width[j]))
             done[d, j] = True
-            if turn < BATCHES // 2 and turn + 1 < BATCHES:
+            if turn < len(parts) // 2 and turn + 1 < len(parts):
                 continue  # too early for a proof, which costs as much as a batch
             # next open impact of each dimension; less of it for rows that were met there
             open_ = np.where(done, 0, most).max(1)
@@ -83,18 +89,29 @@ class Index:
         return rows[best], score[best]
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, block: int = 8192, chunk: int = 128) -> DataFrame:
+def exact(m: np.ndarray, q: np.ndarray, k: int, skip: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
+    """(row, score) of the k best rows in Python's unbounded integers, for components whose
+    products may not fit 64 bits. m and q: whole numbers as doubles."""
+    want = [int(x) for x in q]
+    scores = [(-sum(int(x) * y for x, y in zip(row, want)), int(keys[i]), i) for i, row in enumerate(m.tolist())]
+    gone = set(skip.tolist())
+    return [(i, -s) for s, _, i in heapq.nsmallest(k, (x for x in scores if x[2] not in gone))]
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, block: int = 8192, chunk: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other
     rows with the highest integer inner product of the quantised vectors, ties to smaller ids.
 
     Rows are put into blocks of about `block` by hash, and queries into chunks; a task answers
     the queries of a chunk from one block's index, so neither is held whole anywhere, and k rows
     a query and block are merged. Vectors that are null or have null or non-finite components
-    take no part, nor do rows without an id; shorter vectors count as filled with zeros. A
+    take no part, nor do rows without an id; shorter vectors count as filled with zeros. Blocks
+    with components so large that sums might not fit 64 bits are scored in unbounded integers;
+    a score of the result that doesn't fit is an error. A
     repeated id is a row of its own on either side, and each query row gets its own ranks. No
     rows give none; other columns are ignored."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
     v = materialise(v.withColumn("rid", F.monotonically_increasing_id()))
     n = v.count()
     blocks, chunks = bucket_count(n, block), bucket_count(v.where(F.col("vec_id") % every == 0).count(), chunk)
@@ -112,16 +129,20 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         if not data or not ask:
             return []
         dims = max(len(r[1]) for r in held)
-        m = np.zeros((len(data), dims), dtype=np.int64)
-        for i, r in enumerate(data):
-            m[i, : len(r[1])] = r[1]
+        filled = lambda rows: np.array([np.append(np.floor(r[1]), np.zeros(dims - len(r[1]))) for r in rows]).reshape(len(rows), dims)
+        m, asked = filled(data), filled(ask)
         keys, rids = np.array([r[0] for r in data]), np.array([r[2] for r in data])
-        index, out = Index(m), []
-        for key, vec, rid, _ in ask:
-            q = np.zeros(dims, dtype=np.int64)
-            q[: len(vec)] = vec
-            at, score = index.search(q, k, np.flatnonzero(rids == rid), keys)
-            out += [(rid, key, int(keys[i]), int(s)) for i, s in zip(at, score)]
+        most = lambda x: float(np.abs(x).max(initial=0.0))
+        fits = most(m) < 2**52 and most(asked) < 2**52 and 4 * dims * (most(m) + 1) * (most(asked) + 1) < 2**62
+        index, out = Index(m.astype(np.int64)) if fits else None, []
+        for (key, _, rid, _), q in zip(ask, asked):
+            own = np.flatnonzero(rids == rid)
+            if index:
+                at, score = index.search(q.astype(np.int64), k, own, keys)
+                best = [(int(i), int(s)) for i, s in zip(at, score)]
+            else:
+                best = exact(m, q, k, own, keys)
+            out += [(rid, key, int(keys[i]), s) for i, s in best]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +151,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
         def flush() -> Iterator[pa.RecordBatch]:
             if got := answers(held):
+                if max(abs(x[3]) for x in got) >> 63:
+                    raise OverflowError("an inner product doesn't fit 64 bits")
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["rid", "query_id", "vec_id", "score"])
 
         for batch in batches:

@@ -135,6 +135,31 @@ def test_ledger(spark, tmp_path):
     assert {r.path: len(r.spans) for r in got} == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def test_changed_rules(spark, tmp_path):
+    """A rule's new version replaces its old one, and moved rules sort by their new place."""
+    path = str(tmp_path / "ledger")
+    rows = frame(spark, [[1, "token=abcdefgh1 " + "ab" * 20, "en", "s", 0], [1, None, "en", "s", 0]], False)
+    one = lambda rules: [[(x.start, x.rank, x.kind) for x in r.spans] for r in secrets.scan(rows, "doc_id", "text", path, rules).collect() if r.spans]
+    assign, access, hexes = secrets.BASE
+    assert one(secrets.BASE) == [[(0, 0, "assign"), (16, 2, "hex")]]
+    never = secrets.Rule("assign", "(x)never", 1, 1)
+    assert one((never, access, hexes)) == [[(16, 2, "hex")]]
+    assert one((hexes, assign)) == [[(0, 1, "assign"), (16, 0, "hex")]]
+    assert one((access,)) == []
+
+
+def test_running(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        df = spark.createDataFrame([(list(range(n)),)], "x array<int>").select(secrets.running(F.col("x")).alias("s"))
+        assert df.first().s == [k * (k - 1) // 2 for k in range(n)]
+
+
+def test_many_matches(spark):
+    text = "é token=abcdefgh1\n" * 3000
+    got = secrets.find(frame(spark, [[1, text, "en", "s", 0]])).first()
+    assert got.n_assign == 3000 and got.base_sha256 == digest(text)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 

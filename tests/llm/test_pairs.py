@@ -154,6 +154,34 @@ def test_search(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def brute_top(rows, k=10):
+    good = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None]
+    out = set()
+    for a, (i, q) in enumerate(good):
+        if i % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(good) if a != b)[:k]
+            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    return out
+
+
+def test_search_odd_tables(spark):
+    """Huge components, a handful of rows, few dimensions, empty and ragged vectors."""
+    tables = [
+        [(0, [3e6] * 4), (1, [2e3] * 4), (2, [1.0, -2.0, 0.5, 0.0])] + [(k, [float(k)] * 4) for k in range(3, 60)],
+        [(0, [1e12, 1.0]), (100, [-1e3, 2.0])] + [(k, [float(k % 7), -1.5]) for k in range(1, 30)],
+        [(0, [0.5, 1.0]), (1, [1.0, 1.0])],
+        [(0, [1.0]), (100, [2.0]), (3, [-1.0]), (4, [0.0])],
+        [(0, []), (1, []), (2, [1.0])],
+        [(100, [1.0, 2.0])],
+    ]
+    for rows in tables:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert {tuple(x) for x in topk.search(df).collect()} == brute_top(rows), rows[:3]
+    big = spark.createDataFrame([(0, [1e15] * 3), (1, [1e15] * 3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(big).collect()
+
+
 def test_near_join_beside_copies(spark):
     """A group of near copies holds nearly all links; pairs just at the threshold are found all the same."""
     r = np.random.default_rng(11)
