@@ -54,58 +54,47 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int, spare: float = 0.005) -> list[list[tuple[int, int, int]]]:
+def windows(sizes: list[int], capacity: int, piece: int = 256) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length) pieces with sums of at most `capacity`; sizes are positive.
 
-    Karmarkar-Karp differencing makes near-equal windows. Their count starts at the least that
-    could do and rises while one is too full, until `spare` of the room would be padding. What
-    is still too much then is cut off the window's last item and fills the windows with most
-    room, cut again where it must: the room always suffices."""
-    least = max(1, -(-sum(sizes) // capacity))
-    k = least
+    Items are cut into pieces of at most `piece`, alike in size, so that there are enough of them
+    in a window for Karmarkar-Karp differencing to make near-equal windows. Their count starts
+    at the least that could do and rises for as long as a window exceeds the capacity."""
+    parts = []
+    for i, n in enumerate(sizes):
+        k = -(-n // min(piece, capacity))
+        cuts = [n * j // k for j in range(k + 1)]
+        parts += [(i, a, z - a) for a, z in zip(cuts, cuts[1:])]
+    lengths = [n for _, _, n in parts]
+    k = max(1, -(-sum(lengths) // capacity))
     while True:
-        sets = difference(sizes, k)
-        over = max(sum(sizes[i] for i in s) for s in sets)
-        if over <= capacity or k + 1 > least * (1 + spare):
+        sets = difference(lengths, k)
+        if max(sum(lengths[x] for x in s) for s in sets) <= capacity:
             break
         k += 1
-    out: list[list[tuple[int, int, int]]] = []
-    room: list[tuple[int, int]] = []  # heap of (-free, window)
-    tails: list[tuple[int, int, int]] = []
+    out = []
     for s in sets:
-        free, pieces = capacity, []
-        for i in sorted(s, key=lambda i: (sizes[i], i)):
-            n = min(free, sizes[i])
-            if n:
-                pieces.append((i, 0, n))
-            if n < sizes[i]:
-                tails.append((i, n, sizes[i] - n))
-            free -= n
-        out.append(pieces)
-        if free:
-            heapq.heappush(room, (-free, len(out) - 1))
-    for i, start, n in sorted(tails, key=lambda t: (-t[2], t[0])):
-        while n:
-            free, w = heapq.heappop(room)
-            take = min(n, -free)
-            out[w].append((i, start, take))
-            start, n = start + take, n - take
-            if free + take:
-                heapq.heappush(room, (free + take, w))
+        joined: list[tuple[int, int, int]] = []
+        for i, a, n in sorted(parts[x] for x in s):
+            if joined and joined[-1][0] == i and sum(joined[-1][1:]) == a:  # neighbours met again
+                joined[-1] = (i, joined[-1][1], joined[-1][2] + n)
+            else:
+                joined.append((i, a, n))
+        out.append(joined)
     return [s for s in out if s]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, group: int = 768, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, group: int = 256, with_ids: bool = False) -> DataFrame:
     """Pieces of documents, placed in sequences of at most `capacity` ids.
 
     A document is the ids of its whole text and `end_id`. Stretches of `capacity` ids are
     sequences of their own; the rests are packed, `group` at a time in the order in which a task
     reads them, by `windows`. There is no shuffle: a task packs what it reads, holding the ids of
-    one group. sequence_id has the task's number in its upper bits, so reruns over the same
+    one group; groups only bound what a task holds, as any number of them leaves little room. sequence_id has the task's number in its upper bits, so reruns over the same
     files agree.
 
-    Null texts are empty: one piece with `end_id` alone. Null and repeated ids are carried along.
-    No rows give no pieces. Other columns are ignored. with_ids adds the piece's ids."""
+    Null texts are empty: one piece with `end_id` alone. Null and repeated ids of any type are carried
+    along. No rows give no pieces. Other columns are ignored. with_ids adds the piece's ids."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("doc_id", id_type)]
@@ -116,12 +105,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         base, made = TaskContext.get().partitionId() << 36, 0
+        key_type: pa.DataType | None = None
         rests: list[tuple] = []  # (key, start, ids, doc_tokens)
 
         def emit(pieces: list[tuple]) -> pa.RecordBatch:
             keys, start, ids, total, seq, off = zip(*pieces)
             cols = [
-                pa.array(keys),
+                pa.array(keys, key_type),
                 pa.array(start, pa.int64()),
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
@@ -147,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return out
 
         for batch in batches:
+            key_type = batch.column(0).type
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
                 done: list[tuple] = []
