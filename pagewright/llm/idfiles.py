@@ -108,12 +108,14 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     (file, name, documents, ids, bytes), file numbers in that order.
 
     Texts are tokenised once into a table of the shared folder; id frequencies come from all of
-    it; a range partitioning by (id, checksum), so that not even one repeated id is hot, gives
+    it; ids of documents are integers, others are refused; a range partitioning by (id, checksum), so that not even one repeated id is hot, gives
     each task one file of about `file_ids` ids, written in blocks of `block_ids` under a name of
     its own and then renamed, so a repeated task leaves a whole file. Null texts are empty
     documents; null ids come first; rows with equal ids are ordered by checksum. No rows give
     no files."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is no integer, as the files' format asks for")
     tokens = materialise(tokenise(docs, tokenizer, id_col, text_col, end_id))
     ids = ranking(tokens)
     rank = np.zeros(1 << 16, dtype=np.uint32)
