@@ -61,6 +61,13 @@ def test_language(spark):
     assert ppm.identify(empty(spark)).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    """Repeated rows and ids don't exceed the bound; rows without an id are learned from."""
+    rows = [[1, "the same text", "en", "s", 0]] * 9 + [[1, f"other {k}", "en", "s", 0] for k in range(5)] + [[None, f"keine nummer {k}", "de", "s", 0] for k in range(4)]
+    got = ppm.train_sample(frame(spark, rows), "doc_id", "text", "lang", 3).collect()
+    assert sorted(r.lang for r in got) == ["de"] * 3 + ["en"] * 3
+
+
 def test_code_lengths_are_exact():
     rows = []
     for lang, text in (("a", "abracadabra"), ("b", "barbarabar")):
@@ -71,9 +78,15 @@ def test_code_lengths_are_exact():
     total = {}
     for lang, k, g, n in rows:
         total[lang, k, g] = total.get((lang, k, g), 0) + n
-    m = ppm.build([(*k, n) for k, n in total.items()], 2, least=1)
-    p = np.exp2(-m.cost).reshape(-1, m.symbols, 2).sum(1)
-    assert np.allclose(p, 1)
+    m = ppm.build([(*k, n) for k, n in total.items()], 2)
+    for i in range(len(m.suffix)):  # each state's probabilities add up to 1
+        p = np.zeros(2)
+        for x in range(m.symbols):
+            at, cost = i, np.zeros(2)
+            while m.at[at * m.symbols + x] < 0:
+                cost, at = cost + m.escape[at], m.suffix[at]
+            p += np.exp2(-cost - m.cost[m.at[at * m.symbols + x]])
+        assert np.allclose(p, 1)
 
     def bits(lang, text):  # the definition, letter by letter
         b, out = b"\n\n" + text, 0.0
