@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound, materialise, release_shuffles, running_total
+from pagewright.llm.common import bound, materialise, nested, release_shuffles, running_total, unnested
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -173,23 +173,27 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words; its source's share decides. Documents without words, and those that the mix doesn't
     take, go. length_col, if there, is the new text's length."""
     block = kw.get("block", 64)
-    key = Window.partitionBy("_key").orderBy("_src")
-    tagged = docs.withColumns({"_key": F.xxhash64(id_col, text_col), "_src": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))})
+    same = Window.partitionBy("key")
     sized = sizes(docs, id_col, text_col, source_col)
-    sized = materialise(sized.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("src"))))
+    sized = materialise(sized.withColumns({"n": F.row_number().over(same.orderBy("src", "size")), "copies": F.count(F.lit(1)).over(same)}))
     rows, times = plan(sized, **kw)
     p = _pieces(rows, block).join(times, ["src", "block"])
     upto = F.when(F.col("whole") > F.col("passes"), F.col("z")).otherwise(F.least("z", "part"))
     at = F.col("block") * block + F.col("a") - F.col("start")
     seg = F.when(upto > F.col("a"), F.struct(at.alias("at"), (upto - F.col("a")).alias("n")))
-    parts = p.groupBy(F.col("key").alias("_of"), F.col("n").alias("_nth")).agg(F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.array_sort(F.collect_list(seg)).alias("_segs"))
-    joined = tagged.withColumn("_n", F.row_number().over(key)).join(parts, (F.col("_key") == F.col("_of")) & (F.col("_n") == F.col("_nth")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    some = bound(words, lambda w: F.array_join(F.flatten(F.transform("_segs", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))
-    total = F.aggregate("_segs", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    cut = F.when(total == F.col("_size"), F.array(F.col(text_col))).when(total > 0, F.array(F.ltrim(some))).otherwise(F.array().cast("array<string>"))
-    out = joined.withColumn("_text", F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("_passes").cast("int")), cut)))
-    new = {text_col: F.col("_text")}
-    if length_col in docs.columns:
-        new[length_col] = F.length("_text").cast(docs.schema[length_col].dataType)
-    return out.withColumns(new).select(*docs.columns)
+    parts = p.groupBy("key", "n").agg(*[F.first(k).alias(k) for k in ("copies", "passes", "size")], F.array_sort(F.collect_list(seg)).alias("segs"))
+    src = docs.select(nested(docs), F.xxhash64(id_col, text_col).alias("k"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"), F.col(text_col).alias("text"))
+    # texts are only streamed past the parts; repeated rows alone are numbered
+    one = src.join(parts.where("copies = 1").hint("shuffle_hash"), F.col("k") == F.col("key")).select("d", "text", "passes", "size", "segs")
+    again = parts.where("copies > 1")
+    some = src.join(again.select(F.col("key").alias("again")).distinct().hint("shuffle_hash"), F.col("k") == F.col("again"), "left_semi")
+    long = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    some = some.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("src", long)))
+    more = some.join(again, (F.col("k") == F.col("key")) & (F.col("i") == F.col("n"))).select("d", "text", "passes", "size", "segs")
+    joined = one.unionByName(more)
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = bound(words, lambda w: F.array_join(F.flatten(F.transform("segs", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))
+    total = F.aggregate("segs", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    last = F.when(total == F.col("size"), F.array("text")).when(total > 0, F.array(F.ltrim(cut))).otherwise(F.array().cast("array<string>"))
+    out = joined.select("d", F.explode(F.concat(F.array_repeat("text", F.col("passes").cast("int")), last)).alias("text"))
+    return unnested(out, docs, {text_col: F.col("text"), length_col: F.length("text")})

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound, components, delete, materialise, release_shuffles, skew_safe_lookup
+from pagewright.llm.common import bound, components, delete, materialise, nested, release_shuffles, skew_safe_lookup, unnested
 
 TREES, DEPTH, _BASES, _BLOCK = 24, 4, 8, 32
 
@@ -141,8 +141,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     stay = materialise(got.where(F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
     ws = words(F.col(text_col))
     key = F.when(F.size(ws) > 0, F.unhex(F.md5(F.array_join(ws, " ").cast("binary"))))
-    src = docs.withColumns({"_key": key, "_id": F.col(id_col)})
-    kept = src.join(stay.select(F.col("doc_id").alias("_of"), F.col("key").alias("_k"), F.col("n").alias("_rows")), F.col("_id").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_k")))
-    once = kept.where((F.col("_rows") == 1) | F.col("_key").isNull()).select(*docs.columns)
-    many = kept.where((F.col("_rows") > 1) & F.col("_key").isNotNull()).dropDuplicates(["_id", "_key"]).select(*docs.columns)
-    return once.unionByName(many)
+    src = docs.select(nested(docs), key.alias("k"), F.col(id_col).alias("id"))
+    kept = src.join(stay.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("k").eqNullSafe(F.col("key")))
+    once = kept.where(F.col("n").eqNullSafe(1) | F.col("k").isNull()).select("d")
+    many = kept.where((F.col("n") > 1) & F.col("k").isNotNull()).dropDuplicates(["id", "k"]).select("d")
+    return unnested(once.unionByName(many), docs, {})

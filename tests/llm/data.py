@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of the operators' own names, which they must not trip over.
-CLASH = ["id", "key", "row", "start", "size", "n", "block", "band", "h", "target", "pass", "a", "b"]
+CLASH = ["id", "key", "row", "start", "size", "n", "block", "band", "h", "target", "pass", "a", "b", "d", "whole", "lines", "kept", "blank", "of", "g", "x", "y", "letter", "lang_pred", "score", "rows", "_rows", "_key", "_src", "_id", "_of", "_k", "_n", "_nth", "_text", "_segs", "_size", "_passes", "_bits", "_lines", "_kept", "_row", "_row_key", "_n_lines", "_n_kept", "_lang_pred", "_letter", "_spread", "_at", "_bucket", "a.b c"]
 
 
 def words(r, n):
