@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -46,24 +47,64 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return z.compress(raw) + z.flush()
 
 
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Header lines by lower-case name, the first of each; a line that begins with white space
+    continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for x in lines:
+        if x[:1] in (b" ", b"\t") and name:
+            out[name] += " " + x.strip().decode("utf-8", "replace")
+            continue
+        head, _, value = x.partition(b":")
+        name = head.strip().decode("utf-8", "replace").lower()
+        if name in out:
+            name = None
+        else:
+            out[name] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def _hex_digest(label: str | None) -> str | None:
+    """A digest label as bare hex; Base32 SHA-1, as most archives have it, is turned into hex."""
+    if not label:
+        return None
+    kind, _, value = label.rpartition(":")
+    if kind.lower() in ("", "sha1") and len(value) == 32:
+        return base64.b32decode(value.upper()).hex()
+    return value.lower() if kind.lower() in ("", "sha1") else label
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.lstrip("-").isdigit() else None
+
+
 def parse(raw: bytes) -> dict:
-    """page_id, url, record_type, refers_to, payload (None for a revisit), payload_bytes and
-    payload_digest of a decoded record; bytes and digest of a response come from its payload."""
+    """page_id, url, record_type, refers_to, record_id, refers_to_id, payload (None for a revisit),
+    payload_bytes and payload_digest of a decoded record, of any archive and type.
+
+    The payload of an HTTP response or request is what follows its headers, that of any other
+    record its block; bytes and digest come from it, those of a revisit from its headers. What a
+    record doesn't say is null: only this module's archives have page ids."""
     top, _, rest = raw.partition(b"\r\n\r\n")
-    lines = top.decode().split("\r\n")
-    h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    block = rest[: int(h["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: int(x) if x else None
+    h = _headers(top.split(b"\r\n")[1:])
+    block = rest[: int(h["content-length"])]
+    url = h.get("warc-target-uri")
     out = {
-        "page_id": number(h["X-Page-Id"]),
-        "url": h["WARC-Target-URI"] if h["X-Has-URI"] == "1" else None,
-        "record_type": h["WARC-Type"],
-        "refers_to": number(h.get("X-Refers-To-Page", "")),
+        "page_id": _number(h.get("x-page-id")),
+        "url": None if h.get("x-has-uri") == "0" else url.strip("<>") if url and "x-has-uri" not in h else url,
+        "record_type": h.get("warc-type"),
+        "refers_to": _number(h.get("x-refers-to-page")),
+        "record_id": h.get("warc-record-id"),
+        "refers_to_id": h.get("warc-refers-to"),
     }
-    if h["WARC-Type"] == "revisit":
-        size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
-        return out | {"payload": None, "payload_bytes": size, "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:")}
+    payload = block
+    http = {}
+    if h.get("content-type", "").lower().startswith("application/http"):
+        lines, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(lines.split(b"\r\n")[1:])
+    if out["record_type"] == "revisit":
+        return out | {"payload": None, "payload_bytes": _number(http.get("content-length")), "payload_digest": _hex_digest(h.get("warc-payload-digest"))}
     return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
 
 
@@ -113,30 +154,40 @@ def _member(w: _Window) -> tuple[bytes, int] | None:
     return b"".join(out), n
 
 
-def scan(f, start: int, end: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+def scan(f, start: int, end: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes | None]]:
     """(offset, decoded record) of the records that begin in [start, end) of an open file.
 
     From a split's start the bytes are searched for the gzip magic; a candidate counts only if
-    it decodes to a record (see _member), else the search goes on a byte later. Records follow
-    each other from there; the last one may reach beyond the end of the split."""
+    it decodes to a record (see _member), else the search goes on a byte later. From there
+    records follow each other, the last one maybe beyond the end of the split. Where another must
+    follow (the file's start, the end of a record, even if that is another split's) and none
+    can be decoded, the file is damaged: (offset, None) is given once, and the search goes on."""
     w = _Window(f, start, size, step)
-    while w.at < end:
-        while (k := w.buf.find(MAGIC)) < 0:
-            keep = min(2, len(w.buf))
-            w.drop(len(w.buf) - keep)
-            if w.at >= end or not w.more():
+    due = start == 0  # whether a record must begin here
+    while w.at < size:
+        if not due:
+            while (k := w.buf.find(MAGIC)) < 0:
+                w.drop(len(w.buf) - min(2, len(w.buf)))
+                if w.at >= end or not w.more():
+                    return
+            w.drop(k)
+            if w.at >= end:
                 return
-        w.drop(k)
-        if w.at >= end:
-            return
         got = _member(w)
         if got is None:
-            w.drop(1)
+            if due:
+                yield w.at, None
+            if w.at >= end:
+                return
+            due = False
+            if w.buf or w.more():
+                w.drop(1)
             continue
+        if w.at >= end:  # it is there, and another split's
+            return
         yield w.at, got[0]
         w.drop(got[1])
-        if not w.buf and not w.more():
-            return
+        due = True
 
 
 def plan(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
@@ -188,18 +239,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     return materialise(plan(pages, id_col, url_col, html_col, least).mapInArrow(run, "name string, records long, bytes long"))
 
 
-def read_archives(spark: SparkSession, files: DataFrame, path: str, split: int = 8 << 20, with_payload: bool = False) -> DataFrame:
-    """Records of archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url,
-    and the payload if asked for. files: (name, bytes). Each task scans byte ranges of `split`
-    bytes and owns the records that begin there, so one big file is read by many tasks."""
+def read_archives(spark: SparkSession, files: DataFrame, path: str, split: int = 8 << 20, with_payload: bool = False, with_ids: bool = False, damage: str = "raise") -> DataFrame:
+    """Records of archives, this module's or others', of all types: page_id, payload_bytes,
+    payload_digest, record_type, refers_to and url (see parse), record_id and refers_to_id or
+    the payload if asked for. files: (name, bytes). Each task scans byte ranges of `split` bytes
+    and owns the records that begin there, so one big file is read by many tasks.
+
+    damage: what comes of places where a record should begin and none can be decoded, as in
+    truncated or altered files: "raise" makes them an error with file and offset, "report" a row
+    of record_type `damaged` whose url is file:offset; the records behind them are read."""
+    if damage not in ("raise", "report"):
+        raise ValueError(damage)
     todo = files.select("name", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("at"))
     n = max(1, todo.count())
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", record_id string, refers_to_id string" * with_ids + ", payload binary" * with_payload
+    fields = [x.split() for x in schema.split(", ")]
+    names = [k for k, _ in fields]
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t] for _, t in fields]
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip(names, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
@@ -207,7 +266,12 @@ def read_archives(spark: SparkSession, files: DataFrame, path: str, split: int =
             for name, size, at in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with store.open_input_file(f"{base}/{name}") as f:
-                    for _, raw in scan(f, at, min(at + split, size), size):
+                    for offset, raw in scan(f, at, min(at + split, size), size):
+                        if raw is None:
+                            if damage == "raise":
+                                raise ValueError(f"{name}: no record at byte {offset}")
+                            rows.append({"record_type": "damaged", "url": f"{name}:{offset}"})
+                            continue
                         rows.append(parse(raw))
                         held += len(raw) if with_payload else 200
                         if held > 4 << 20:
