@@ -1,4 +1,4 @@
-"""Lossless WebP: a decoder of the whole format, a plain encoder, media columns (op 10)."""
+"""Lossless WebP: a decoder of the whole format, an encoder that chooses by size, media columns (op 10)."""
 
 from __future__ import annotations
 
@@ -136,14 +136,25 @@ def _number(b: Bits, s: int) -> int:
     return ((2 + (s & 1)) << extra) + b.read(extra) + 1
 
 
-def _fast(b: Bits, code: Code, n: int) -> np.ndarray | None:
-    """n symbols in a row of one code, or None if one isn't a literal. The code is looked up at
-    every bit of a stretch at once; then the lengths are followed from code to code."""
-    symbols, lens = code.symbols, code.lens
+def _distance(d: int, w: int) -> int:
+    """The distance in pixels that a distance number stands for."""
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * w)
+
+
+def _fast(b: Bits, green: Code, dist: Code, n: int, w: int) -> np.ndarray:
+    """n green samples of an image whose other samples are constant. The code is looked up at
+    every bit of a stretch at once; then the lengths are followed from literal to literal, and a
+    back-reference ends the walk, is copied, and begins the next."""
+    stop = 1 << 40
+    symbols, lens = green.symbols, green.lens
+    jump = np.where(symbols > 255, stop, lens.astype(np.int64))
     raw = np.frombuffer(b.data + b"\0\0\0", dtype=np.uint8)
-    mask, out, left, at = np.uint32((1 << code.width) - 1), [], n, b.at
+    mask, out, done, at = np.uint32((1 << green.width) - 1), np.empty(n, dtype=np.uint8), 0, b.at
     shifts = np.arange(8, dtype=np.uint32)
-    while left:
+    while done < n:
         a = at >> 3
         z = min(len(raw) - 2, a + (1 << 15))
         if z <= a:
@@ -151,23 +162,33 @@ def _fast(b: Bits, code: Code, n: int) -> np.ndarray | None:
         x = raw[a : z + 2].astype(np.uint32)
         word = x[: z - a] | x[1 : z - a + 1] << np.uint32(8) | x[2 : z - a + 2] << np.uint32(16)
         keys = ((word[:, None] >> shifts) & mask).reshape(-1)
-        step, p, end, where = lens[keys].tolist(), at - 8 * a, 8 * (z - a), []
-        add = where.append
-        for _ in range(left):
-            if p >= end:
-                break
-            add(p)
-            p += step[p]
-        got = symbols[keys[np.array(where, dtype=np.int64)]]
-        if len(got) and got.max() > 255:
-            return None
-        out.append(got)
-        left -= len(where)
+        step, p, end = jump[keys].tolist(), at - 8 * a, 8 * (z - a)
+        while p < end and done < n:
+            where: list[int] = []
+            add = where.append
+            for _ in range(n - done):
+                if p >= end:
+                    break
+                add(p)
+                p += step[p]
+            last = where.pop() if p >= stop else None
+            got = symbols[keys[np.array(where, dtype=np.int64)]]
+            out[done : done + len(got)] = got
+            done += len(got)
+            if last is not None:
+                b.at = 8 * a + last + int(lens[keys[last]])
+                length = _number(b, int(symbols[keys[last]]) - 256)
+                d = _distance(_number(b, dist.read(b)), w)
+                if d > done or done + length > n:
+                    raise ValueError("a reference beyond the image")
+                out[done : done + length] = np.resize(out[done - d : done], length)
+                done += length
+                p = b.at - 8 * a
         at = p + 8 * a
     if at > b.end:
         raise ValueError("the stream ends too early")
     b.at = at
-    return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
+    return out
 
 
 def _image(b: Bits, w: int, h: int, main: bool) -> np.ndarray:
@@ -185,16 +206,14 @@ def _image(b: Bits, w: int, h: int, main: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(b, k) for k in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     n = w * h
-    green, red, blue, alpha, _ = codes[0]
+    green, red, blue, alpha, dist = codes[0]
     if groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only):
-        start = b.at
-        if green.only is not None and green.only < 256:
-            lit = np.full(n, green.only, dtype=np.int32)
+        if green.only is not None:
+            lit = np.full(n, green.only, dtype=np.uint8) if green.only < 256 else None
         else:
-            lit = _fast(b, green, n) if green.only is None else None
+            lit = _fast(b, green, dist, n, w)
         if lit is not None:
             return lit.astype(np.uint32) << np.uint32(8) | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
-        b.at = start
     out: list[int] = []
     cache, shift = [0] * cache_size, 32 - cache_bits
     done = 0  # pixels that the cache holds
@@ -209,12 +228,7 @@ def _image(b: Bits, w: int, h: int, main: bool) -> np.ndarray:
             r, bl = red.read(b), blue.read(b)
             out.append(alpha.read(b) << 24 | r << 16 | s << 8 | bl)
         elif s < 280:
-            length, d = _number(b, s - 256), _number(b, dist.read(b))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * w)
+            length, d = _number(b, s - 256), _distance(_number(b, dist.read(b)), w)
             if d > p or p + length > n:
                 raise ValueError("a reference beyond the image")
             for _ in range(length):
@@ -408,29 +422,100 @@ def _bit_string(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
     return words.astype(np.uint64).astype("<u4").tobytes(), int(ends[-1])
 
 
-def encode_grey(payload: np.ndarray, width: int) -> bytes:
-    """A file whose pixels have the payload's bytes as green samples; other samples are constant."""
-    lengths = np.zeros(280, dtype=np.int64)
-    lengths[:256] = code_lengths(np.bincount(payload, minlength=256), 12)
-    b = Writer()
-    b.write(0x2F, 8)
-    b.write(width - 1, 14)
-    b.write(len(payload) // width - 1, 14)
-    b.write(0, 4 + 1 + 1 + 1)  # no alpha, version 0; no transform, no colour cache, one group of codes
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits' value, their number) of lengths or distance numbers from 1 on."""
+    x = v - 1
+    extra = np.where(x < 4, 0, np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) - 1)
+    symbol = np.where(x < 4, x, 2 * extra + 2 + (x >> extra & 1))
+    return symbol, np.where(x < 4, 0, x - ((2 + (symbol & 1)) << extra)), extra
+
+
+def _tokens(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits' value, their number): literals, and for runs of eight or more of one
+    sample back-references of at most 4,096 to the sample before."""
+    edges = np.flatnonzero(samples[1:] != samples[:-1]) + 1
+    starts = np.append(0, edges)
+    size = np.diff(np.append(starts, len(samples)))
+    long = np.flatnonzero(size >= 8)
+    if not len(long):
+        zero = np.zeros(len(samples), dtype=np.int64)
+        return samples.astype(np.int64), zero, zero
+    inside = np.zeros(len(samples) + 1, dtype=np.int64)
+    inside[starts[long] + 1] += 1
+    inside[starts[long] + size[long]] -= 1
+    keep = np.cumsum(inside)[:-1] == 0
+    kept = np.flatnonzero(keep)
+    at, n = [], []
+    for s, m in zip(starts[long].tolist(), (size[long] - 1).tolist()):
+        for k in range(0, m, 4096):
+            at.append(s + 1 + k)
+            n.append(min(4096, m - k))
+    symbol, extra, bits = _prefix(np.array(n, dtype=np.int64))
+    where = np.searchsorted(kept, np.array(at))
+    zero = np.zeros(len(kept), dtype=np.int64)
+    return np.insert(samples[kept].astype(np.int64), where, symbol + 256), np.insert(zero, where, extra), np.insert(zero, where, bits)
+
+
+def _pixels(b: Writer, samples: np.ndarray, meta: bool = True) -> None:
+    """Writes an image's entropy-coded green samples; red and blue are 0 and alpha is 255."""
+    symbol, extra, bits = _tokens(samples)
+    lengths = code_lengths(np.bincount(symbol, minlength=280), 12)
+    b.write(0, 1 + meta)  # no colour cache, one group of codes
     write_code(b, lengths)
-    for s in (0, 0, 255, 0):  # red, blue, alpha, distance
+    for s in (0, 0, 255, 1):  # red, blue, alpha, distance: one to the left
         b.write(1 | 1 << 2 | s << 3, 11)
     if np.count_nonzero(lengths) > 1:
-        codes = np.zeros(256, dtype=np.uint64)
+        codes = np.zeros(280, dtype=np.int64)
         for s, _, c in canonical(lengths):
             codes[s] = c
-        bits, n = _bit_string(codes[payload], lengths[payload])
-        b.write(int.from_bytes(bits, "little"), n)
+        data, n = _bit_string(codes[symbol] | extra << lengths[symbol], lengths[symbol] + bits)
+        b.write(int.from_bytes(data, "little"), n)
+
+
+def _entropy(samples: np.ndarray, width: int, palette: np.ndarray | None) -> bytes:
+    """A file of green samples; with a palette of at most 16 of them, indexes packed into bytes."""
+    b = Writer()
+    b.write(0x2F, 8)
+    b.write(width - 1, 14)
+    b.write(len(samples) // width - 1, 14)
+    b.write(0, 4)  # no alpha, version 0
+    if palette is not None:
+        b.write(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
+        b.write(0, 1)  # the palette's own colours, as differences from the one before
+        steps = np.diff(palette.astype(np.int64), prepend=0) & 255
+        table = code_lengths(np.bincount(steps, minlength=280), 12)
+        alpha = code_lengths(np.bincount([255] + [0] * (len(steps) - 1), minlength=256), 12)
+        write_code(b, table)
+        for s in (0, 0):
+            b.write(1 | 1 << 2 | s << 3, 11)
+        write_code(b, alpha)
+        b.write(1 | 1 << 2 | 1 << 3, 11)
+        at = [{s: (c, n) for s, n, c in canonical(t)} if np.count_nonzero(t) > 1 else {} for t in (table, alpha)]
+        for k, s in enumerate(steps.tolist()):
+            b.write(*at[0].get(s, (0, 0)))
+            b.write(*at[1].get(0 if k else 255, (0, 0)))
+        bits = 3 if len(palette) <= 2 else 2 if len(palette) <= 4 else 1
+        per, each = 1 << bits, 8 >> bits
+        index = np.searchsorted(palette, samples).reshape(-1, width)
+        index = np.pad(index, ((0, 0), (0, -width % per))).reshape(len(index), -1, per)
+        samples = (index << (np.arange(per) * each)).sum(2).reshape(-1).astype(np.uint8)
+    b.write(0, 1)  # no more transforms
+    _pixels(b, samples)
     data = b.bytes()
     data += b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
+def encode_grey(payload: np.ndarray, width: int) -> bytes:
+    """A file whose pixels have the payload's bytes as green samples; other samples are constant.
+    Few different bytes are also tried as a palette; the shorter file is taken."""
+    plain = _entropy(payload, width, None)
+    palette = np.flatnonzero(np.bincount(payload, minlength=256))
+    if len(palette) > 16:
+        return plain
+    return min(plain, _entropy(payload, width, palette), key=len)
+
+
 def encode_payload(payload: bytes) -> bytes:
     """Lossless WebP files one after the other: rows of 576 samples, 1,024 rows a file at most."""
     x = np.frombuffer(payload, dtype=np.uint8)
@@ -479,6 +564,21 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def pixels(media: DataFrame) -> DataFrame:
+    """(doc_id, image, width, height, argb): the pixels of each image of a media column, row by row
+    as little-endian 32-bit numbers."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column(1)):
+                for i, px in enumerate(decode_payload(raw.as_py())):
+                    row = (pa.array([i], pa.int32()), pa.array([px.shape[1]], pa.int32()), pa.array([px.shape[0]], pa.int32()), pa.array([px.astype("<u4").tobytes()], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *row], ["doc_id", "image", "width", "height", "argb"])
+
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, image int, width int, height int, argb binary")
+
+
 def describe(media: DataFrame) -> DataFrame:
     """Decodes a media column and computes sizes, checksums and features from the pixels."""
     kind = media.schema["doc_id"].dataType.simpleString()

@@ -42,7 +42,44 @@ def test_scan_skips_false_members():
     real = warc.member(1, "u", b"a" * 100, "d", None)
     raw = gzip.compress(b"no record") + b"\x1f\x8b\x08junk" + real + warc.member(2, "v", b"b", "d", None)
     got = list(warc.scan(io.BytesIO(raw), 0, len(raw), len(raw)))
-    assert [warc.parse(r)["page_id"] for _, r in got] == [1, 2]
+    assert got[0] == (0, None)  # the file doesn't begin with a record
+    assert [warc.parse(r)["page_id"] for _, r in got[1:]] == [1, 2]
+
+
+def foreign(kind, block, *more):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", f"Content-Length: {len(block)}", *more]
+    return gzip.compress("\r\n".join(["WARC/1.0", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Other writers' records: all types, no private headers, Base32 digests; damage is told."""
+    body = b"HTTP/1.1 200 OK\r\ncontent-length: 3\r\n\r\nabc"
+    http = "Content-Type: application/http; msgtype=response"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: <http://h/>"),
+        foreign("response", body, http, "warc-target-uri: http://h/"),
+        foreign("revisit", body[:-3], http, "WARC-Payload-Digest: sha1:VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5", "WARC-Refers-To: <urn:uuid:9>"),
+        foreign("metadata", b"k: v"),
+        foreign("resource", b"{}", "Content-Type: text/json"),
+    ]
+    good = b"".join(records)
+    cut = records[0] + records[1][: len(records[1]) // 2] + records[2] + records[3][:20]
+    (tmp_path / "a").write_bytes(good)
+    (tmp_path / "b").write_bytes(cut)
+    read = lambda name, n, split, **kw: warc.read_archives(spark, spark.createDataFrame([(name, n)], "name string, bytes long"), f"file://{tmp_path}", split, **kw).collect()
+    for split in (1 << 20, 50):
+        got = read("a", len(good), split, with_payload=True, with_ids=True)
+        by = {r.record_type: r for r in got}
+        assert len(got) == 6 and list(sorted(by)) == ["metadata", "request", "resource", "response", "revisit", "warcinfo"]
+        assert by["response"].payload == b"abc" and by["response"].payload_digest == hashlib.sha1(b"abc").hexdigest()
+        assert by["request"].url == "http://h/" and by["request"].payload == b"" and by["metadata"].payload == b"k: v"
+        assert by["revisit"].payload_digest == hashlib.sha1(b"abc").hexdigest()
+        assert by["revisit"].payload_bytes == 3 and by["revisit"].refers_to_id == "<urn:uuid:9>" and by["revisit"].page_id is None
+        got = read("b", len(cut), split, damage="report")
+        assert sorted(r.record_type for r in got) == ["damaged", "damaged", "response", "warcinfo"]
+        with pytest.raises(Exception, match="no record at byte"):
+            read("b", len(cut), split)
 
 
 def test_language(spark):
@@ -238,14 +275,74 @@ def test_predictors_and_cross_colour():
     assert got == [0xFF000000 | (10 + 20) << 16 | 20 << 8 | (5 + 10 + 30)]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(max_size=3000))
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.binary(max_size=3000), st.text(alphabet="ab \n", max_size=3000).map(str.encode), st.lists(st.tuples(st.integers(0, 255), st.integers(1, 9000)), max_size=4).map(lambda x: b"".join(bytes([c]) * n for c, n in x))))
 def test_payload_round_trip(raw):
     n, p = len(raw), raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
     got = np.concatenate([x.reshape(-1) for x in webp.decode_payload(webp.encode_payload(p))])
     assert ((got >> 8) & 255).astype(np.uint8).tobytes() == p and n <= len(p)
 
 
+def test_encoder_chooses_by_size():
+    """Runs become back-references; few different bytes a palette of packed pixels; and what comes
+    out by the fast way comes out by the general one too."""
+    r = np.random.default_rng(4)
+    few = r.choice(np.frombuffer(b"aaaaaaaaab", dtype=np.uint8), 5760)
+    plain = r.integers(0, 256, 5760).astype(np.uint8)
+    runs = np.concatenate([plain[:576], np.full(5000, 255, dtype=np.uint8), plain[:184]])
+    assert len(webp.encode_grey(few, 576)) < len(webp._entropy(few, 576, None)) < 5760
+    assert len(webp.encode_grey(np.full(5760, 255, dtype=np.uint8), 576)) < 80
+    assert len(webp.encode_grey(runs, 576)) < 1100
+    for x in (few, plain, runs, np.tile(plain[:700], 9)[:5760]):
+        raw = webp.encode_grey(x, 576)
+        got = webp.decode(raw)
+        assert (got.reshape(-1) >> 8 & 255 == x).all()
+        fast, webp._fast = webp._fast, lambda *a: None
+        try:
+            assert (webp.decode(raw) == got).all()
+        finally:
+            webp._fast = fast
+
+
+def test_fast_way_with_any_distance():
+    """Back-references of the general kind, to pixels before and above, among green literals."""
+    b = webp.Writer()
+    for v, n in ((0x2F, 8), (9, 14), (3, 14), (0, 4), (0, 1), (0, 1), (0, 1)):
+        b.write(v, n)
+    green, dist = [8] * 232 + [9] * 48, [5] * 24 + [6] * 16
+    webp.write_code(b, green)
+    for s in (0, 0, 255):
+        b.write(1 | 1 << 2 | s << 3, 11)
+    webp.write_code(b, dist)
+    g, d = ({s: (c, n) for s, n, c in webp.canonical(x)} for x in (green, dist))
+    for k in range(10):
+        b.write(*g[k])
+    b.write(*g[256 + 3]), b.write(*d[0])  # four from above
+    b.write(*g[77])
+    b.write(*g[256 + 4]), b.write(1, 1), b.write(*d[1])  # six from one to the left
+    b.write(*g[256 + 6]), b.write(0, 2), b.write(*d[4]), b.write(1, 1)  # nine from near code 6
+    for k in range(10):
+        b.write(*g[100 + k])
+    raw = b.bytes() + b"\0" * (len(b.bytes()) % 2)
+    raw = b"RIFF" + (12 + len(raw)).to_bytes(4, "little") + b"WEBPVP8L" + len(raw).to_bytes(4, "little") + raw
+    got = webp.decode(raw)
+    fast, webp._fast = webp._fast, lambda *a: None
+    try:
+        assert (webp.decode(raw) == got).all()
+    finally:
+        webp._fast = fast
+    assert (got.reshape(-1)[:21] >> 8 & 255).tolist() == [*range(10), 0, 1, 2, 3, *[77] * 7]
+
+
+def test_pixel_arrays(spark):
+    rows = [[1, "ab" * 900, "en", "s", 0], [2, None, "en", "s", 0]]
+    got = {r.doc_id: r for r in webp.pixels(webp.store(frame(spark, rows))).collect()}
+    for k, t, *_ in rows:
+        r, p = got[k], webp.padded(t)[1]
+        px = np.frombuffer(r.argb, dtype="<u4")
+        assert (r.image, r.width, r.height) == (0, 576, len(p) // 576) and ((px >> 8 & 255).astype(np.uint8).tobytes(), set((px >> 24).tolist())) == (p, {255})
+
+
 def test_damaged_files():
     good = webp.encode_payload(webp.padded("abc " * 900)[1])
     for bad in (b"RIFFxxxx", good[: len(good) // 2], good[:21] + b"\xff" * 40):
