@@ -38,17 +38,31 @@ def rank_per_query(scored: DataFrame, k: int, by: Column | str = "score", descen
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows of one block of chunks, and of one chunk of queries, that a dense search pairs.
+_ROWS, _ASKED = 20_000, 256
+
+
+def paired(chunks: DataFrame, queries: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Each chunk with each of a stated set of queries, or with those that agree with it in `on`.
+
+    Chunks are cut into hash blocks of about 20,000, so their number follows the data, and queries
+    into groups of about 256; a group meets a block in one key of the join. Columns in `on` are
+    part of the key, so rows that don't agree never meet."""
+    n, asked = chunks.count(), queries.count()
+    blocks, groups = max(1, -(-n // _ROWS)), max(1, -(-asked // _ASKED))
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    c = chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")).withColumn("_group", numbers(groups))
+    q = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("_block", numbers(blocks))
+    return c.join(q, ["_block", "_group", *(on or [])])
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int, l2: bool = False, on: list[str] | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score) by inner product, or by squared distance.
 
-    queries: a stated set of (query_id, q); it is compared with all chunks in blocks: both sides
-    carry a block number, chunks by hash and queries repeated for each block, and are joined on
-    it. `on` names columns that must agree, which then are joined on as well."""
-    blocks = 32
-    c = chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries: a stated set of (query_id, q), paired with all chunks, or with those that agree in
+    the columns `on` (see paired)."""
     score = squared_l2("embedding", "q") if l2 else dot("embedding", "q")
-    scored = c.join(q, ["_block", *(on or [])]).select("query_id", "chunk_id", score.alias("score"))
+    scored = paired(chunks, queries, on).select("query_id", "chunk_id", score.alias("score"))
     return rank_per_query(scored, k, descending=not l2).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -130,13 +144,15 @@ def latest_years(chunks: DataFrame) -> DataFrame:
 def route(queries: DataFrame, companies: DataFrame, latest: DataFrame) -> DataFrame:
     """ML-08, ML-09: (query_id, question, unknown, company, year) of each query.
 
-    Queries are few; companies are matched by substring through a broadcast of the distinct
-    names, which Spark only does below its size limit. unknown: the first of the listed names
-    that the query has and no known company contains."""
+    Companies are matched by substring, which no key can do: Spark pairs all queries with all
+    distinct names, and is left to choose which side is small enough to be sent around. unknown:
+    the first of the listed names that the query has and no known company contains."""
     low = F.lower("question")
     named = queries.join(companies.select(F.col("company").alias("c")), F.contains(low, F.lower("c")), "left").groupBy("query_id", "question").agg(F.min("c").alias("company"))
+    # which listed names a company has: one pass over the companies, at most one row a listed name
+    has = companies.select(F.explode(F.filter(F.array(*map(F.lit, UNKNOWN)), lambda n: F.contains(F.lower("company"), n))).alias("name")).distinct()
     listed = queries.sparkSession.createDataFrame(list(enumerate(UNKNOWN)), "ord int, name string")
-    strange = listed.join(companies, F.contains(F.lower("company"), F.col("name")), "left_anti")
+    strange = listed.join(has, "name", "left_anti")
     first = queries.join(F.broadcast(strange), F.contains(low, F.col("name"))).groupBy("query_id").agg(F.min_by("name", "ord").alias("unknown"))
     every = latest.where("company is null").select(F.col("latest").alias("newest"))
     r = named.join(first, "query_id", "left").join(latest.where("company is not null"), "company", "left").join(F.broadcast(every))
@@ -145,20 +161,27 @@ def route(queries: DataFrame, companies: DataFrame, latest: DataFrame) -> DataFr
     return r.select("query_id", "question", "unknown", "company", year.alias("year"))
 
 
-def routed_search(chunks: DataFrame, queries: DataFrame, k: int | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(hits, status) of a batch of queries with vectors `q`: guard, company, year, filter, top k, floor."""
+def routed_search(chunks: DataFrame, queries: DataFrame, k: int | None = None, config: Config = DEFAULT, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, status) of a batch of queries with vectors `q`: guard, company, year, filter, top k, floor.
+
+    Companies and years are known from `texts`, by default the chunks. Queries that name a company
+    or a year only meet the chunks that agree: four searches, one for each of what may be named."""
     k = k or config.top_k
-    plan = route(queries.select("query_id", "question"), known_companies(chunks), latest_years(chunks))
-    asked = plan.join(queries.select("query_id", "q"), "query_id").where("unknown is null")
-    fits = (F.col("want_company").isNull() | (F.col("want_company") == F.col("company"))) & (F.col("want_year").isNull() | (F.col("want_year") == F.col("year")))
-    blocks = 32
-    c = chunks.select("chunk_id", "company", "year", "embedding").withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    a = asked.select("query_id", "q", F.col("company").alias("want_company"), F.col("year").alias("want_year")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = c.join(a, "_block").where(fits).select("query_id", "chunk_id", dot("embedding", "q").alias("score"))
+    known = chunks if texts is None else texts
+    plan = route(queries.select("query_id", "question"), known_companies(known), latest_years(known))
+    asked = plan.join(queries.select("query_id", "q"), "query_id").where("unknown is null").select("query_id", "q", "company", "year")
+    c = chunks.select("chunk_id", "company", "year", "embedding")
+    scored = None
+    for on in ([], ["company"], ["year"], ["company", "year"]):
+        named = asked
+        for name in ("company", "year"):
+            named = named.where(F.col(name).isNotNull() if name in on else F.col(name).isNull())
+        some = paired(c, named.select("query_id", "q", *on), on).select("query_id", "chunk_id", dot("embedding", "q").alias("score"))
+        scored = some if scored is None else scored.unionByName(some)
     hits = rank_per_query(scored, k).select("query_id", "rank", "chunk_id", "score")
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
-    has = chunks.select("company").distinct().withColumnRenamed("company", "c")
-    s = plan.join(best, "query_id", "left").join(F.broadcast(has), F.col("company") == F.col("c"), "left")
+    has = known.select("company").distinct().withColumnRenamed("company", "c")
+    s = plan.join(best, "query_id", "left").join(has, F.col("company") == F.col("c"), "left")
     reason = (
         F.when(F.col("unknown").isNotNull(), F.format_string("No indexed data for '%s'.", F.col("unknown")))
         .when(F.col("company").isNotNull() & F.col("c").isNull(), F.format_string("No data found for company '%s'.", F.col("company")))
@@ -170,6 +193,7 @@ def routed_search(chunks: DataFrame, queries: DataFrame, k: int | None = None, c
 
 
 def pairwise_cosine(vectors: DataFrame) -> DataFrame:
-    """ML-10: (a, b, score) over a stated small set."""
+    """ML-10: (a, b, score) over a stated small set, whose result grows as its square. Spark chooses
+    how both sides meet."""
     x, y = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", cosine("va", "vb").alias("score"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", cosine("va", "vb").alias("score"))

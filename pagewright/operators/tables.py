@@ -22,6 +22,23 @@ def numeric_ratio(cells: Column) -> tuple[Column, Column, Column]:
     return F.when(tokens > 0, numeric / tokens).otherwise(0.0), numeric, tokens
 
 
+def with_cells(lines: DataFrame) -> DataFrame:
+    """PR-04, PR-05, A-07: adds to lines with text, spans and bbox: cells (text, x, bold by rising x;
+    a span without a place has the line's, a line without spans is one plain cell), x, y (null
+    without a place), xs, numeric_ratio, numeric and tokens."""
+    known = F.size("bbox") >= 4
+    x = F.when(known, F.get("bbox", F.lit(0))).otherwise(0.0)
+    place = lambda s: F.when(F.size(s["bbox"]) >= 4, F.get(s["bbox"], F.lit(0))).otherwise(x)
+    bold = lambda s: F.coalesce(s["flags"], F.lit(0)).bitwiseAND(16) != 0
+    spans = F.transform("spans", lambda s, i: F.struct(place(s).alias("x"), i.alias("i"), strip(s["text"]).alias("text"), bold(s).alias("bold")))
+    alone = F.array(F.struct(x.alias("x"), F.lit(0).alias("i"), strip(F.col("text")).alias("text"), F.lit(False).alias("bold")))
+    parts = F.filter(F.when(F.size("spans") > 0, spans).otherwise(alone), lambda c: c["text"] != "")
+    cells = F.transform(F.array_sort(parts), lambda c: F.struct(c["text"].alias("text"), c["x"].alias("x"), c["bold"].alias("bold")))
+    out = lines.withColumns({"cells": cells, "x": x, "y": F.when(known, F.get("bbox", F.lit(1)))})
+    ratio, numeric, tokens = numeric_ratio(F.transform("cells", lambda c: c["text"]))
+    return out.withColumns({"xs": F.transform("cells", lambda c: c["x"]), "numeric_ratio": ratio, "numeric": numeric, "tokens": tokens})
+
+
 def candidates(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds cand1..cand4 and the promotions to lines with text, x (least x), xs (all x), y and
     numeric_ratio. Each pass only reads what earlier passes found."""
@@ -81,54 +98,70 @@ def _year(text: str) -> bool:
     return len(s) == 4 and s.isdigit() and 1900 <= int(s) <= 2100
 
 
+def _box(a: list[float] | None, b: list[float] | None) -> list[float] | None:
+    """A-05: the box around two boxes, of which any may be unknown."""
+    if not a or not b:
+        return a or b
+    return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+
+
 def group_rows(lines: list[dict], gap: float) -> list[dict]:
-    """ST-01: by rising y, a line joins the first row whose mean y is within `gap`."""
+    """ST-01: by rising y, a line joins the first row whose mean y is within `gap`; lines without a
+    place are left out."""
     rows: list[dict] = []
-    for ln in sorted(lines, key=lambda v: v["y"]):
+    for ln in sorted((v for v in lines if v["y"] is not None), key=lambda v: v["y"]):
         row = next((r for r in rows if abs(ln["y"] - r["y"]) <= gap), None)
         if row is None:
-            rows.append({"y": ln["y"], "n": 1, "cells": list(ln["cells"])})
+            rows.append({"y": ln["y"], "n": 1, "cells": list(ln["cells"]), "box": ln.get("box")})
             continue
         row["n"] += 1
         row["y"] += (ln["y"] - row["y"]) / row["n"]
         row["cells"] += ln["cells"]
+        row["box"] = _box(row["box"], ln.get("box"))
     rows.sort(key=lambda r: r["y"])
     for r in rows:
         r["cells"].sort(key=lambda c: c["x"])
     return rows
 
 
-def merge_labels(rows: list[dict]) -> list[dict]:
-    """ST-02: rows without a figure and not ending in a colon lead into the next row with one, if
-    they are as bold as it is."""
-    out: list[dict] = []
-    held: list[dict] = []
+def _bold(row: dict) -> bool:
+    return any(c["bold"] for c in row["cells"])
 
-    def bold(r: dict) -> bool:
-        return any(c["bold"] for c in r["cells"])
 
-    for r in rows:
-        label = " ".join(c["text"] for c in r["cells"]).strip()
-        if not any(_numeric(c["text"]) for c in r["cells"]):
-            if label.endswith(":"):
-                out += held + [r]
-                held = []
-            else:
-                held.append(r)
-            continue
-        if held and all(bold(h) == bold(r) for h in held):
-            words = " ".join(c["text"] for h in held for c in h["cells"])
-            first, *rest = r["cells"]
-            if _numeric(first["text"]):
-                cells = [{"text": words, "x": held[0]["cells"][0]["x"], "bold": bold(r)}, *r["cells"]]
-            else:
-                cells = [{**first, "text": f"{words} {first['text']}", "x": min(first["x"], held[0]["cells"][0]["x"])}, *rest]
-            r = {**r, "cells": cells}
+def _figures(row: dict) -> bool:
+    return any(_numeric(c["text"]) for c in row["cells"])
+
+
+def _wraps(rows: list[dict], k: int) -> bool:
+    """Whether a row may be a label's part that goes on below: it has words, no figure and no colon
+    at its end, and isn't a bold title above plain rows."""
+    words = " ".join(c["text"] for c in rows[k]["cells"]).strip()
+    if not words or words.endswith(":") or _figures(rows[k]):
+        return False
+    return not _bold(rows[k]) or (k + 1 < len(rows) and _bold(rows[k + 1]))
+
+
+def merge_labels(rows: list[dict]) -> list[dict]:
+    """ST-02: a run of rows that may wrap joins the row with figures right below it, if the run and
+    that row are alike in having something bold."""
+    out: list[dict] = []
+    k = 0
+    while k < len(rows):
+        end = k
+        while end < len(rows) and _wraps(rows, end):
+            end += 1
+        run = rows[k:end]
+        if run and end < len(rows) and _figures(rows[end]) and any(map(_bold, run)) == _bold(rows[end]):
+            whole = dict(rows[end])
+            whole["cells"] = sorted((c for r in [*run, rows[end]] for c in r["cells"]), key=lambda c: c["x"])
+            for r in run:
+                whole["box"] = _box(whole.get("box"), r.get("box"))
+            out.append(whole)
+            k = end + 1
         else:
-            out += held
-        held = []
-        out.append(r)
-    return out + held
+            out += run or [rows[k]]
+            k += max(1, len(run))
+    return out
 
 
 def regions(rows: list[dict], gap: float) -> list[list[dict]]:
@@ -163,42 +196,43 @@ def text_header(rows: list[dict], most: int, near: float) -> tuple[int, list[dic
     if not first:
         return None
     clusters: list[dict] = []
-    for r in rows[:first]:
-        for c in r["cells"]:
-            hit = next((g for g in clusters if abs(g["x"] - c["x"]) <= near), None)
-            if hit is None:
-                clusters.append({"x": c["x"], "text": c["text"].strip()})
-            else:
-                hit["text"] += " " + c["text"].strip()
-    clusters = [g for g in clusters if not re.fullmatch(r"\(\w+\)", g["text"])]
-    clusters.sort(key=lambda g: g["x"])
-    if len(clusters) > 2 and clusters[0]["x"] < 100:
+    for c in (c for r in rows[:first] for c in r["cells"]):
+        word = c["text"].strip()
+        if not word or word in _DASHES | {"$"}:
+            continue
+        hit = next((g for g in clusters if abs(g["x"] - c["x"]) <= near), None)
+        if hit is None:
+            clusters.append({"x": c["x"], "text": word})
+        else:
+            hit["text"] += " " + word
+    clusters = sorted((g for g in clusters if not re.fullmatch(r"\(\d+\)", g["text"])), key=lambda g: g["x"])  # footnote marks
+    if len(clusters) > 2 and clusters[0]["x"] < 100:  # what stands above the labels
         clusters = clusters[1:]
     return (first, clusters) if len(clusters) >= 2 else None
 
 
 def data_row(cells: list[dict], columns: list[dict], near: float, margin: float) -> dict | None:
-    """J-07 and J-08: each column takes its nearest cell within `near`; cells left of the columns
-    are the label. Columns and figures left over are paired in order if there are as many."""
+    """J-07 and J-08: each column takes its nearest cell within `near`; what lies more than
+    `margin` left of the columns is the label. Columns and cells left over are paired in order if
+    there are as many. Lone symbols are neither label nor value, but dashes are values."""
+    is_value = lambda c: c["text"].strip() not in _LONE or c["text"].strip() in _DASHES
     values: dict[str, str | None] = {}
     used: set[int] = set()
     edge = columns[0]["x"] - margin
-    is_value = lambda c: _numeric(c["text"]) or c["text"].strip() in _DASHES
     for col in columns:
         best = min(((abs(c["x"] - col["x"]), i) for i, c in enumerate(cells) if is_value(c) and abs(c["x"] - col["x"]) <= near), default=None)
         values[col["text"]] = cells[best[1]]["text"].strip() if best else None
         if best:
             used.add(best[1])
-    label = [c["text"].strip() for i, c in enumerate(cells) if i not in used and c["text"].strip() not in _LONE and (c["x"] < edge or not is_value(c))]
     open_ = [c for c in columns if values[c["text"]] is None]
     spare = [c for i, c in enumerate(cells) if i not in used and is_value(c) and c["x"] >= edge]
-    if open_ and len(open_) == len(spare):
+    if len(open_) == len(spare):
         for col, c in zip(open_, spare):
             values[col["text"]] = c["text"].strip()
-    text = " ".join(label).strip()
-    if not (text or any(v is not None for v in values.values())):
+    label = " ".join(c["text"].strip() for c in cells if c["x"] < edge and c["text"].strip() not in _LONE).strip()
+    if not (label or any(v is not None for v in values.values())):
         return None
-    return {"label": text, "values": [{"col": k, "val": v} for k, v in values.items()]}
+    return {"label": label, "values": [{"col": k, "val": v} for k, v in values.items()]}
 
 
 def _found(kind: str, columns: list[dict], rows: list[dict]) -> dict:
@@ -217,7 +251,7 @@ def parse_region(rows: list[dict], config: Config = DEFAULT) -> dict:
     found = text_header(rows, c.text_header_rows, c.column_x)
     if found:
         first, cols = found
-        got = [d for r in rows[first:] if (d := data_row(r["cells"], cols, c.text_column_x, c.column_x))]
+        got = [d for r in rows[first:] if (d := data_row(r["cells"], cols, c.text_column_x, c.text_column_x))]
         if got:
             return _found("text_label", cols, got)
     raw = [{"label": None, "values": None, "cells": [{"text": v["text"], "x": v["x"]} for v in r["cells"]]} for r in rows]
@@ -225,34 +259,44 @@ def parse_region(rows: list[dict], config: Config = DEFAULT) -> dict:
 
 
 def parse_page(lines: list[dict], config: Config = DEFAULT) -> list[dict]:
-    """All tables of a page from its candidate lines (y and cells of text, x, bold)."""
+    """All tables of a page from its candidate lines (y, cells of text, x, bold, and box)."""
     rows = group_rows(lines, config.row_gap)
     if len(rows) < 2:
         return []
-    return [parse_region(r, config) for r in regions(merge_labels(rows), config.region_gap) if len(r) >= 2]
+    out = []
+    for region in regions(merge_labels(rows), config.region_gap):
+        if len(region) >= 2:
+            box = None
+            for r in region:
+                box = _box(box, r["box"])
+            out.append(parse_region(region, config) | {"bbox": box})
+    return out
 
 
 TABLE_ROWS = "array<struct<label:string,values:array<struct<col:string,val:string>>,cells:array<struct<text:string,x:double>>>>"
 
 
 def parse(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Tables of all pages. lines: candidates with y and cells. A page is gathered by one
-    aggregation and folded in Arrow batches of pages; no page meets another."""
-    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_index", "y", "cells"))).alias("lines"))
-    schema = f"company string, file_name string, page_index int, table_index int, header array<string>, header_detected boolean, column_type string, row_count int, column_count int, rows {TABLE_ROWS}"
+    """Tables of all pages. lines: candidates with y and cells, and page_number and bbox if known. A
+    page is gathered by one aggregation and folded in Arrow batches of pages; no page meets
+    another."""
+    box = F.col("bbox") if "bbox" in lines.columns else F.lit(None).cast("array<double>")
+    number = F.col("page_number") if "page_number" in lines.columns else F.lit(None)
+    pages = lines.groupBy(*PAGE).agg(F.max(number.cast("int")).alias("page_number"), F.array_sort(F.collect_list(F.struct("line_index", "y", "cells", F.when(F.size(box) >= 4, box).alias("box")))).alias("lines"))
+    schema = f"company string, file_name string, page_index int, page_number int, table_index int, header array<string>, header_detected boolean, column_type string, row_count int, column_count int, bbox array<double>, rows {TABLE_ROWS}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(", ")[:9]] + ["rows"]
+        names = [f.split()[0] for f in schema.split(", ")[:11]] + ["rows"]
         for frame in frames:
             out = []
-            for company, file_name, page, lines_ in frame.itertuples(index=False):
-                plain = [{"y": float(v["y"]), "cells": [dict(c) for c in v["cells"]]} for v in lines_]
+            for company, file_name, page, number_, lines_ in frame.itertuples(index=False):
+                plain = [{"y": None if v["y"] is None else float(v["y"]), "cells": [dict(c) for c in v["cells"]], "box": None if v["box"] is None else list(map(float, v["box"]))} for v in lines_]
                 for k, t in enumerate(parse_page(plain, config)):
                     rows = [{"label": r["label"], "values": r["values"], "cells": r.get("cells")} for r in t["rows"]]
-                    out.append((company, file_name, page, k, t["header"], t["header_detected"], t["column_type"], len(rows), len(t["header"]), rows))
-            yield pd.DataFrame(out, columns=names)
+                    out.append((company, file_name, page, number_, k, t["header"], t["header_detected"], t["column_type"], len(rows), len(t["header"]), t["bbox"], rows))
+            yield pd.DataFrame(out, columns=names).astype({"page_number": "Int32"})
 
-    return pages.select(*PAGE, "lines").mapInPandas(run, schema)
+    return pages.select(*PAGE, "page_number", "lines").mapInPandas(run, schema)
 
 
 def real_table(rows: Column, share: float = DEFAULT.real_table) -> Column:

@@ -87,7 +87,7 @@ def _bm25(low: bool, k: int = 10, where: str = "TRUE") -> list[tuple[str, str]]:
     q = "lower(question)" if low else "question"
     split = lambda x: rf"unnest(list_filter(regexp_split_to_array({x}, '\s+'), lambda e: e <> ''))"
     return [
-        ("sub", f"SELECT * FROM v_chunks WHERE {where}"),
+        ("sub", f"SELECT * FROM v_texts WHERE {where}"),
         ("tok", f"SELECT chunk_id, {split(t)} AS term FROM sub"),
         ("post", "SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL"),
         ("dl", f"SELECT chunk_id, len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda e: e <> '')) AS dl FROM sub"),
@@ -105,22 +105,22 @@ _BEST = "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM best"
 
 @query("bm25_topk", _BEST, *_bm25(False))
 def _(s, d):
-    return _rounded(R.bm25(V.chunks(s, d), V.items(s, d), 10))
+    return _rounded(R.bm25(V.texts(s, d), V.items(s, d), 10))
 
 
 @query("bm25_lowercase", _BEST, *_bm25(True))
 def _(s, d):
-    return _rounded(R.bm25(V.chunks(s, d), V.items(s, d), 10, lowercase=True))
+    return _rounded(R.bm25(V.texts(s, d), V.items(s, d), 10, lowercase=True))
 
 
 @query("bm25_filtered_stats", _BEST, *_bm25(False, where="company = 'src1'"))
 def _(s, d):
-    return _rounded(R.bm25(R.metadata_filter(V.chunks(s, d), "src1"), V.items(s, d), 10))
+    return _rounded(R.bm25(R.metadata_filter(V.texts(s, d), "src1"), V.items(s, d), 10))
 
 
 @query("bm25_corpus_stats", "SELECT term, df, round(idf, 6) AS idf FROM idf", *_bm25(False))
 def _(s, d):
-    _, totals, df = R.corpus_stats(V.chunks(s, d))
+    _, totals, df = R.corpus_stats(V.texts(s, d))
     return df.join(R.idf(df, totals), "term").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -137,8 +137,8 @@ _DENSE30 = ("dense30", _top(_L2, 30, order="ASC"))
     _DENSE30,
 )
 def _(s, d):
-    c, q = V.chunks(s, d), V.items(s, d)
-    return _rounded(R.fuse(R.bm25(c, q, 30), R.dense(c, q, 30, l2=True), 10))
+    q = V.items(s, d)
+    return _rounded(R.fuse(R.bm25(V.texts(s, d), q, 30), R.dense(V.chunks(s, d), q, 30, l2=True), 10))
 
 
 @query(
@@ -150,14 +150,14 @@ def _(s, d):
     _DENSE30,
 )
 def _(s, d):
-    c, q = V.chunks(s, d), V.items(s, d)
-    return R.merge_by_priority(R.dense(c, q, 6, l2=True), R.bm25(c, q, 10), 10)
+    q = V.items(s, d)
+    return R.merge_by_priority(R.dense(V.chunks(s, d), q, 6, l2=True), R.bm25(V.texts(s, d), q, 10), 10)
 
 
 # ---- routing ----
 _ROUTE = [
-    ("known", "SELECT DISTINCT company FROM v_chunks"),
-    ("latest", "SELECT company, max(year) AS latest FROM v_chunks GROUP BY ROLLUP (company)"),
+    ("known", "SELECT DISTINCT company FROM v_texts"),
+    ("latest", "SELECT company, max(year) AS latest FROM v_texts GROUP BY ROLLUP (company)"),
     ("listed", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(UNKNOWN)) + ") l(ord, name) WHERE NOT EXISTS (SELECT 1 FROM known WHERE contains(lower(company), name))"),
     ("named", "SELECT query_id, question, q, (SELECT min(company) FROM known WHERE contains(lower(question), lower(company))) AS company, (SELECT arg_min(name, ord) FROM listed WHERE contains(lower(question), name)) AS unknown FROM v_questions"),
     (
@@ -180,16 +180,16 @@ _ROUTE = [
 
 @query("routed_search", "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits JOIN status USING (query_id) WHERE reason IS NULL", *_ROUTE)
 def _(s, d):
-    return _rounded(R.routed_search(V.chunks(s, d), V.questions(s, d))[0])
+    return _rounded(R.routed_search(V.chunks(s, d), V.questions(s, d), texts=V.texts(s, d))[0])
 
 
 @query("confidence_gate", "SELECT query_id, company, year, reason IS NULL AS matched, reason FROM status", *_ROUTE)
 def _(s, d):
-    return R.routed_search(V.chunks(s, d), V.questions(s, d))[1]
+    return R.routed_search(V.chunks(s, d), V.questions(s, d), texts=V.texts(s, d))[1]
 
 
 def _plan(s, d):
-    c = V.chunks(s, d)
+    c = V.texts(s, d)
     return R.route(V.questions(s, d).drop("q"), R.known_companies(c), R.latest_years(c))
 
 
@@ -205,7 +205,7 @@ def _(s, d):
 
 @query("latest_year", "SELECT company, latest FROM latest", *_ROUTE)
 def _(s, d):
-    return R.latest_years(V.chunks(s, d))
+    return R.latest_years(V.texts(s, d))
 
 
 @query("query_year", r"SELECT query_id, TRY_CAST(nullif(regexp_extract(question, '\b(?:19|20)\d\d\b'), '') AS INTEGER) AS v2, TRY_CAST(nullif(regexp_extract(question, '\b20\d\d\b'), '') AS INTEGER) AS v1 FROM v_questions")
@@ -218,14 +218,14 @@ def _(s, d):
     return V.questions(s, d).select("query_id", P.v1_company(F.col("question")).alias("company"))
 
 
-@query("metadata_filter_ci", "SELECT chunk_id, company, year FROM v_chunks WHERE lower(company) = 'src7' AND year = 2020")
+@query("metadata_filter_ci", "SELECT chunk_id, company, year FROM v_texts WHERE lower(company) = 'src7' AND year = 2020")
 def _(s, d):
-    return R.metadata_filter(V.chunks(s, d), "SRC7", "2020").select("chunk_id", "company", "year")
+    return R.metadata_filter(V.texts(s, d), "SRC7", "2020").select("chunk_id", "company", "year")
 
 
-@query("metadata_filter_exact", "SELECT chunk_id, company, year FROM v_chunks WHERE company = 'src7'")
+@query("metadata_filter_exact", "SELECT chunk_id, company, year FROM v_texts WHERE company = 'src7'")
 def _(s, d):
-    return R.metadata_filter(V.chunks(s, d), "src7", ignore_case=False).select("chunk_id", "company", "year")
+    return R.metadata_filter(V.texts(s, d), "src7", ignore_case=False).select("chunk_id", "company", "year")
 
 
 # ---- cleaning ----
@@ -453,6 +453,56 @@ def _(s, d):
     return t.select("page_index", tables.real_table(F.col("rows")).alias("is_real"), tables.table_text(F.col("header"), F.col("rows")).alias("text"))
 
 
+# ---- pages of three tables: years with wrapped labels, bold titles and words as values; a header of
+# stacked words; and bare rows ----
+def _mixed_lines(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey")
+    n = F.row_number().over(w.orderBy("l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"))
+    x = V.table(s, d, "lineitem").withColumns({"n": n, "m": F.count(F.lit(1)).over(w)})
+    cell = lambda t, at, b=False: F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(float(at)).alias("x"), F.lit(b).alias("bold"))
+    whole = lambda c: F.floor(c).cast("long").cast("string")
+    line = lambda y, *cells: F.struct(y.cast("double").alias("y"), F.array(*cells).alias("cells"))
+    top, low = 100 + 40 * F.col("n"), 320 + 40 * F.col("m")
+    price, count = whole("l_extendedprice"), whole("l_quantity")
+    body = F.array(
+        line(top, cell("REVENUE", 72, True)),
+        line(top + 10, cell("Net", 72)),
+        line(top + 20, cell(F.concat(F.lit("sales, "), "l_returnflag"), 72), cell("$", 288), cell(price, 300), cell(F.when(F.col("l_returnflag") == "N", "N/A").otherwise(count), 384)),
+        line(low + 30 + 10 * F.col("n"), cell(F.concat(F.lit("period "), F.col("n").cast("string")), 72), cell(count, 340), cell(price, 410), cell(F.when(F.col("n") % 2 == 1, "note").otherwise("$"), 600)),
+    )
+    once = F.array(
+        line(F.lit(100), cell("2021", 300, True), cell("2020", 380, True)),
+        line(low, cell("Periods", 72, True), cell("Total", 300, True), cell("Average", 380, True), cell("(unaudited)", 600, True)),
+        line(low + 10, cell("Number", 305, True), cell("$", 345, True), cell("Price", 385, True)),
+        line(low + 330 + 10 * F.col("m"), cell("alpha", 72), cell("beta", 200)),
+        line(low + 340 + 10 * F.col("m"), cell("gamma", 72), cell("delta", 200)),
+    )
+    lines_ = x.select(F.col("l_orderkey").cast("int").alias("page_index"), F.explode(F.when(F.col("n") == 1, F.concat(once, body)).otherwise(body)).alias("e"))
+    at = (F.col("e.y") * 10).cast("int")
+    y, last = F.col("e.y"), F.array_max(F.transform("e.cells", lambda c: c["x"]))
+    box = F.array(F.col("e.cells")[0]["x"], y, last + 10, y + 8)
+    return lines_.select(F.lit("orders").alias("company"), F.lit("lineitem").alias("file_name"), "page_index", at.alias("line_index"), y.alias("y"), F.col("e.cells").alias("cells"), box.alias("bbox"))
+
+
+@query(
+    "parse_mixed_tables",
+    """SELECT page_index, table_index, header, column_type, rows, top, bottom FROM (
+      SELECT CAST(l_orderkey AS INTEGER) AS page_index, 0 AS table_index, '2021,2020' AS header, 'year' AS column_type,
+        string_agg(concat('REVENUE:~,~|Net sales, ', l_returnflag, ':', CAST(floor(l_extendedprice) AS BIGINT), ',', CASE WHEN l_returnflag = 'N' THEN 'N/A' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) END), '|' ORDER BY n) AS rows,
+        100.0::DOUBLE AS top, CAST(128 + 40 * count(*) AS DOUBLE) AS bottom FROM item GROUP BY l_orderkey
+      UNION ALL SELECT CAST(l_orderkey AS INTEGER), 1, 'Total Number,Average Price,(unaudited)', 'text_label',
+        string_agg(concat('period ', n, ':', CAST(floor(l_quantity) AS BIGINT), ',', CAST(floor(l_extendedprice) AS BIGINT), ',', CASE WHEN n % 2 = 1 THEN 'note' ELSE '~' END), '|' ORDER BY n),
+        CAST(320 + 40 * count(*) AS DOUBLE), CAST(358 + 50 * count(*) AS DOUBLE) FROM item GROUP BY l_orderkey
+      UNION ALL SELECT CAST(l_orderkey AS INTEGER), 2, '', NULL, 'alpha/beta|gamma/delta', CAST(650 + 50 * count(*) AS DOUBLE), CAST(668 + 50 * count(*) AS DOUBLE) FROM item GROUP BY l_orderkey)""",
+    _ITEMS,
+)
+def _(s, d):
+    t = tables.parse(_mixed_lines(s, d))
+    values = lambda r: F.concat(r["label"], F.lit(":"), F.array_join(F.transform(r["values"], lambda v: v["val"]), ",", "~"))
+    row = F.transform("rows", lambda r: F.when(r["values"].isNotNull(), values(r)).otherwise(F.array_join(F.transform(r["cells"], lambda c: c["text"]), "/")))
+    return t.select("page_index", "table_index", F.array_join("header", ",").alias("header"), "column_type", F.array_join(row, "|").alias("rows"), F.col("bbox")[1].alias("top"), F.col("bbox")[3].alias("bottom"))
+
+
 # ---- paragraphs ----
 _PARA = [
     ("src", "SELECT *, CASE WHEN length(text) % 17 = 0 THEN 'table' WHEN h0 AND NOT out THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN out THEN 0 ELSE lv END AS level FROM run WHERE trim(text) <> ''"),
@@ -600,9 +650,9 @@ def _(s, d):
     return quality.page_sequence(V.docs(s, d).withColumn("printed", p))
 
 
-@query("run_totals", "SELECT company, chunk_type, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT company, CASE WHEN chunk_id % 3 = 0 THEN 'table' ELSE 'text' END AS chunk_type, text FROM v_chunks) GROUP BY CUBE (company, chunk_type)")
+@query("run_totals", "SELECT company, chunk_type, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT company, CASE WHEN chunk_id % 3 = 0 THEN 'table' ELSE 'text' END AS chunk_type, text FROM v_texts) GROUP BY CUBE (company, chunk_type)")
 def _(s, d):
-    return quality.totals(V.chunks(s, d).withColumn("chunk_type", F.when(F.col("chunk_id") % 3 == 0, "table").otherwise("text")))
+    return quality.totals(V.texts(s, d).withColumn("chunk_type", F.when(F.col("chunk_id") % 3 == 0, "table").otherwise("text")))
 
 
 @query("contains_probe", "SELECT doc_id, contains(text, 'the') AND contains(text, 'and') AS both, contains(lower(text), 'tion') AS any_case, replace(left(text, 200), chr(10), ' ') AS preview FROM documents")
@@ -632,6 +682,13 @@ def _(s, d):
     return V.docs(s, d).select("doc_id", F.format_string("chunk_%03d", n).alias("name"))
 
 
+@query("report_chain")
+def _(s, d):
+    from pagewright.operators import report
+
+    return report.to_chunks(V.raw_lines(s, d)).select("company", "file_name", "section_id", F.array_join("path", " > ").alias("path"), "chunk_type", "chunk_seq", "text")
+
+
 @query("embed_hash")
 def _(s, d):
     e = embed.embed_passages(V.table(s, d, "documents").select("doc_id", "text"))
@@ -640,5 +697,4 @@ def _(s, d):
 
 @query("word2vec_shape")
 def _(s, d):
-    m = embed.word2vec(V.table(s, d, "benchmark"), dims=20)
-    return m.getVectors().select("word", F.lit(20).alias("dims"))
+    return embed.word2vec(V.table(s, d, "documents").na.fill({"text": ""})).getVectors().select("word", F.lit(100).alias("dims"))

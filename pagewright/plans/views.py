@@ -65,6 +65,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, d["doc_id"] == e["vec_id"]).select(F.col("doc_id").alias("chunk_id"), "company", "year", "file_name", "text", "embedding")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks without vectors, for what needs none."""
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "company", "year", "file_name", "text")
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as an extractor gives them: one text block a page, one span a line."""
+    x = lines(spark, sf_dir)
+    box = F.array("x0", "y0", "x1", "y1")
+    span = F.struct("text", F.lit("F").alias("font"), "size", "flags", box.alias("bbox"), F.array("x0", "y1").alias("origin"))
+    return x.select("company", "file_name", "page_index", F.col("page_index").alias("page_number"), F.lit(0).alias("block_index"), F.lit(0).alias("block_type"), F.col("line_index").alias("line_in_block"), box.alias("line_bbox"), F.array(F.lit(1.0), F.lit(0.0)).alias("dir"), F.array(span).alias("spans"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as questions with vectors."""
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
@@ -101,6 +114,7 @@ SQL = {
         FROM (SELECT doc_id, company, file_name, page_index, CAST(unnest(range(len(l))) AS INTEGER) AS line_index, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM v_docs))""",
     "v_noisy": f"SELECT doc_id, concat({_sql_prefix()}, ' ', text) AS text FROM documents",
     "v_chunks": "SELECT doc_id AS chunk_id, company, year, file_name, text, embedding::DOUBLE[] AS embedding FROM v_docs JOIN embeddings ON vec_id = doc_id",
+    "v_texts": "SELECT doc_id AS chunk_id, company, year, file_name, text FROM v_docs",
     "v_items": "SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id",
     "v_questions": "SELECT v.query_id, v.question, embedding::DOUBLE[] AS q FROM (VALUES "
     + ", ".join(f"({k}, '{t}')" for k, t in QUESTIONS)

@@ -104,7 +104,46 @@ def test_merge_labels():
     out = tables.merge_labels([row(True, ("REVENUE", 72)), row(False, ("Net sales", 72), ("163,220", 300))])
     assert len(out) == 2
     out = tables.merge_labels([row(True, ("EFFECT OF CASH", 72)), row(True, ("EQUIVALENTS", 72), ("70", 300))])
-    assert [c["text"] for c in out[0]["cells"]] == ["EFFECT OF CASH EQUIVALENTS", "70"]
+    assert tables.data_row(out[0]["cells"], COLS, 20, 20) == {"label": "EFFECT OF CASH EQUIVALENTS", "values": [{"col": "2021", "val": "70"}, {"col": "2020", "val": None}, {"col": "2019", "val": None}]}
+    wrapped = [row(True, ("REVENUE", 72)), row(False, ("Net (gains)/losses", 72)), row(False, ("included in net income", 72), ("163,220", 300))]
+    assert [" ".join(c["text"] for c in r["cells"]) for r in tables.merge_labels(wrapped)] == ["REVENUE", "Net (gains)/losses included in net income 163,220"]
+    assert len(tables.merge_labels([row(False, ("Assets:", 72)), row(False, ("Cash", 72), ("1", 300)), row(False, ("end", 72))])) == 3
+
+
+def test_text_header():
+    row = lambda *p: {"cells": [{"text": t, "x": float(x), "bold": False} for t, x in p]}
+    rows = [row(("Periods", 72), ("Total", 300), ("$", 330), ("Average", 380), ("(1)", 520), ("(unaudited)", 600)), row(("—", 200), ("Price", 385)), row(("a", 72), ("1", 340), ("2", 420))]
+    first, cols = tables.text_header(rows, 14, 20)
+    assert (first, [c["text"] for c in cols]) == (2, ["Total", "Average Price", "(unaudited)"])
+    got = tables.data_row(cells(("a", 72), ("b", 270), ("N/A", 340), ("$", 400), ("2", 420)), cols, 45, 45)
+    assert got["label"] == "a" and [v["val"] for v in got["values"]] == ["b", "N/A", "2"]  # a tie goes to the left cell
+
+
+def test_report(spark):
+    """Raw lines to chunks: a heading's paragraphs are packed, its page's table is text of its own."""
+    from pagewright.operators import report
+
+    flag = lambda b: 16 if b else 0
+    def line(page, k, y, *spans, kind=0):
+        cells_ = [{"text": t, "font": "F", "size": 9.0, "flags": flag(b), "bbox": [float(x), y, x + 20.0, y + 10], "origin": [0.0, 0.0]} for t, x, b in spans]
+        return ("c", "f", page, page, 0, kind, k, [float(spans[0][1]), y, 500.0, y + 10], [1.0, 0.0], cells_)
+
+    raw = [
+        line(1, 0, 72.0, ("Item 7. Results", 72, True)),
+        line(1, 1, 90.0, ("Sales rose because of the many new things that were sold.", 72, False)),
+        line(1, 2, 101.0, ("More of the same paragraph, see https://x.org/a now.", 72, False)),
+        line(1, 3, 120.0, ("an image", 72, False), kind=1),
+        line(2, 0, 100.0, (" ", 10, False), ("2021", 300, True), ("2020", 380, True)),
+        line(2, 1, 112.0, ("Net", 72, False)),
+        line(2, 2, 124.0, ("sales", 72, False), ("$", 290, False), ("10", 300, False), ("20", 380, False)),
+        line(2, 3, 136.0, ("Cost", 72, False), ("(5)", 300, False), ("—", 380, False)),
+    ]
+    schema = "company string, file_name string, page_index int, page_number int, block_index int, block_type int, line_in_block int, line_bbox array<double>, dir array<double>, spans array<struct<text:string,font:string,size:double,flags:int,bbox:array<double>,origin:array<double>>>"
+    got = {r.chunk_type: r for r in report.to_chunks(spark.createDataFrame(raw, schema)).collect()}
+    assert got["text"].text == "Sales rose because of the many new things that were sold. More of the same paragraph, see now." and got["text"].path == ["Item 7. Results"]
+    assert got["table"].text == "Columns: 2021, 2020\nNet sales -- 2021: 10, 2020: 20\nCost -- 2021: (5), 2020: -" and got["table"].page_numbers == [2]
+    cells_ = tables.with_cells(lines.flatten(spark.createDataFrame(raw, schema))).where("page_index = 2 and line_index = 2").first()
+    assert (cells_.x, cells_.y, cells_.numeric, cells_.tokens) == (72.0, 124.0, 2, 4)
 
 
 def test_boilerplate(spark):
