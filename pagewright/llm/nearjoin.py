@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bound, components, delete, materialise, nested, release_shuffles, skew_safe_lookup, unnested
 
-TREES, DEPTH, _BASES, _BLOCK = 24, 4, 8, 32
+#: Trees and the values of a signature. Signatures have _GROUP values for each level but the last;
+#: a tree takes one of each group, and no two trees share more than one of their first three.
+TREES, DEPTH, _BASES, _BLOCK, _GROUP = 64, 4, 8, 32, 32
+
+
+@lru_cache
+def layout(trees: int, depth: int) -> list[tuple[int, ...]]:
+    """The positions in the signature that each tree sorts by, level by level."""
+    out = []
+    for t in range(trees):
+        s, i = divmod(t, _GROUP)
+        first = [k * _GROUP + (i + k * s) % _GROUP for k in range(max(1, depth - 1))]
+        out.append(tuple((first + [(i + 7 + 3 * s) % _GROUP])[:depth]))
+    return out
 
 
 def words(text: Column) -> Column:
@@ -22,27 +36,38 @@ def grams(ws: Column, n: int) -> Column:
     return bound(ws, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
 
 
-def _signature(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+def _signature(rows: DataFrame, values: int) -> DataFrame:
     """MinHash values of each key from its exploded grams `g`.
 
     Value m is the least of hash_m(g) xor c_m. Hashes are random, so each xor orders them at
     random; a few base hashes with many constants each give as many orders, one operation a
-    gram. Tasks reduce the grams of a document to one row before the shuffle."""
+    gram; the values of a tree have different base hashes. Tasks reduce the grams of a document
+    to one row before the shuffle."""
     r = random.Random(17)
     bases = [f"_h{k}" for k in range(_BASES)]
     rows = rows.select("key", *[F.xxhash64("g", F.lit(k)).alias(b) for k, b in enumerate(bases)])
-    least = [F.min(F.col(bases[m % _BASES]).bitwiseXOR(F.lit(r.getrandbits(64) - (1 << 63)))).alias(f"_m{m}") for m in range(trees * depth)]
-    return rows.groupBy("key").agg(*least).select("key", F.array(*[F.col(f"_m{m}").bitwiseAND(0x7FFFFFFF).cast("int") for m in range(trees * depth)]).alias("sig"))
+    base = lambda m: F.col(bases[(m % _GROUP + (0, 3, 5, 6)[m // _GROUP % 4]) % _BASES])
+    least = [F.min(base(m).bitwiseXOR(F.lit(r.getrandbits(64) - (1 << 63)))).alias(f"_m{m}") for m in range(values)]
+    return rows.groupBy("key").agg(*least).select("key", F.array(*[F.col(f"_m{m}").bitwiseAND(0x7FFFFFFF).cast("int") for m in range(values)]).alias("sig"))
 
 
-def chance(j: float, depth: int, trees: int) -> float:
-    """That two sets of Jaccard similarity j share a prefix of that depth in one tree at least."""
-    return 1 - (1 - j**depth) ** trees
+@lru_cache
+def chance(j: float, depth: int, trees: int, deepest: int = DEPTH, trials: int = 20_000) -> float:
+    """That two sets of Jaccard similarity j share a prefix of that depth in one tree at least, by
+    trials, as trees share values."""
+    r = random.Random(5)
+    wanted = [sum(1 << p for p in positions[:depth]) for positions in layout(trees, deepest)]
+    values = 1 + max(p for positions in layout(trees, deepest) for p in positions)
+    hits = 0
+    for _ in range(trials):
+        same = sum(1 << p for p in range(values) if r.random() < j)
+        hits += any(same & w == w for w in wanted)
+    return hits / trials
 
 
 def floor_depth(threshold: float, trees: int, depth: int, target: float) -> int:
     """The deepest prefixes at which pairs just at the threshold are found often enough."""
-    return next((d for d in range(depth, 1, -1) if chance(threshold, d, trees) >= target), 1)
+    return next((d for d in range(depth, 1, -1) if chance(threshold, d, trees, depth) >= target), 1)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -77,7 +102,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     n-word grams reaches `threshold`; n_links counts the links of a document's text, and class_id
     is the least id over the connected texts.
 
-    The forest: each tree orders the texts by a signature of `depth` MinHash values. Texts that
+    The forest: each tree orders the texts by `depth` MinHash values of their signatures. Texts that
     share a whole signature are compared first; then prefixes are shortened, one value at a
     time, and what is newly matched is verified, down to the depth at which even pairs just at
     the threshold have the chance `target` to be found. An estimate over all links can't end this
@@ -93,14 +118,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     texts = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # the key is computed below the explode, once a document
     exploded = docs.select(key.alias("key"), ws.alias("ws")).where("key is not null").select("key", F.explode(grams(F.col("ws"), n)).alias("g"))
-    sigs = materialise(_signature(exploded, trees, depth).join(texts, "key").withColumn("id", F.monotonically_increasing_id()))
+    values = 1 + max(p for positions in layout(trees, depth) for p in positions)
+    sigs = materialise(_signature(exploded, values).join(texts, "key").withColumn("id", F.monotonically_increasing_id()))
     release_shuffles(spark)
 
     low = floor_depth(threshold, trees, depth, target)
-    at = [F.xxhash64("t", F.slice("sig", F.col("t") * depth + 1, d)).alias(f"p{d}") for d in range(low, depth + 1)]
-    nodes = sigs.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select("id", *at)
-    company = nodes.groupBy(f"p{low}").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(f"p{low}")
-    nodes = materialise(nodes.join(company, f"p{low}"))
+    node = lambda t, at: F.struct(*[F.xxhash64(F.lit(t), *[F.col("sig")[p] for p in at[:d]]).alias(f"p{d}") for d in range(low, depth + 1)])
+    nodes = sigs.select("id", F.explode(F.array(*[node(t, at) for t, at in enumerate(layout(trees, depth))])).alias("p")).select("id", "p.*")
+    company = nodes.groupBy(f"p{low}").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(f"p{low}")
+    # hashed, not sorted: most prefixes have no company and only pass by
+    nodes = materialise(nodes.join(company.hint("shuffle_hash"), f"p{low}"))
     near = nodes.select("id").distinct().join(sigs.select("id", "key", "rep"), "id")
     src = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
     mine = src.join(near, (src["key"] == near["key"]) & src["doc_id"].eqNullSafe(near["rep"])).select("id", "text")
