@@ -183,10 +183,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seg = F.when(upto > F.col("a"), F.struct(at.alias("at"), (upto - F.col("a")).alias("n")))
     parts = p.groupBy("key", "n").agg(*[F.first(k).alias(k) for k in ("copies", "passes", "size")], F.array_sort(F.collect_list(seg)).alias("segs"))
     src = docs.select(nested(docs), F.xxhash64(id_col, text_col).alias("k"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"), F.col(text_col).alias("text"))
-    # texts are only streamed past the parts; repeated rows alone are numbered
-    one = src.join(parts.where("copies = 1").hint("shuffle_hash"), F.col("k") == F.col("key")).select("d", "text", "passes", "size", "segs")
+    # repeated rows alone are numbered
+    one = src.join(parts.where("copies = 1"), F.col("k") == F.col("key")).select("d", "text", "passes", "size", "segs")
     again = parts.where("copies > 1")
-    some = src.join(again.select(F.col("key").alias("again")).distinct().hint("shuffle_hash"), F.col("k") == F.col("again"), "left_semi")
+    some = src.join(again.select(F.col("key").alias("again")).distinct(), F.col("k") == F.col("again"), "left_semi")
     long = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     some = some.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("src", long)))
     more = some.join(again, (F.col("k") == F.col("key")) & (F.col("i") == F.col("n"))).select("d", "text", "passes", "size", "segs")

@@ -169,7 +169,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ws = words(F.col(text_col))
     key = F.when(F.size(ws) > 0, F.unhex(F.md5(F.array_join(ws, " ").cast("binary"))))
     src = docs.select(nested(docs), key.alias("k"), F.col(id_col).alias("id"))
-    kept = src.join(stay.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("k").eqNullSafe(F.col("key")))
+    kept = src.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("k").eqNullSafe(F.col("key")))
     once = kept.where(F.col("n").eqNullSafe(1) | F.col("k").isNull()).select("d")
     many = kept.where((F.col("n") > 1) & F.col("k").isNotNull()).dropDuplicates(["id", "k"]).select("d")
     return unnested(once.unionByName(many), docs, {})

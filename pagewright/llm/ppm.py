@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for a, z in slices(pc.struct_field(whole.column(0), text_col), 2 << 20):
+            for a, z in slices(pc.struct_field(whole.column(0), text_col), 1 << 19):
                 batch = whole.slice(a, z - a)
                 texts = pc.fill_null(pc.utf8_lower(pc.struct_field(batch.column(0), text_col)), "").to_pylist()
                 texts = [t.encode() for t in texts]

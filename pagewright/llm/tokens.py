@@ -138,7 +138,7 @@ class Encoder:
         return out
 
 
-def slices(col: pa.Array, most: int = 8 << 20):
+def slices(col: pa.Array, most: int = 4 << 20):
     """(start, stop) row ranges of a text column with about `most` bytes each, one row at least."""
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
