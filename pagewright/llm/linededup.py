@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import random
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import bound, components, delete, materialise, nested, release_shuffles, unnested
 from pagewright.llm.tokens import slices
 
-BINS, BANDS, ROWS, SHINGLE = 64, 12, 5, 5
+BINS, BANDS, ROWS, SHINGLE = 64, 30, 7, 5
+#: Bits of a band's number in a key; pairs looked at together.
+SHIFT, PAIRS = 5, 1 << 18
 #: Characters of lines, counted once a band, that one group of candidates holds; blocks of a
 #: larger band hold half as many.
 GROUP = 1 << 22
@@ -70,17 +72,32 @@ def signatures(lines: list[str], n: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def _layout() -> list[list[int]]:
+    """The bins of each band: neighbours first, as what fills empty bins comes from neighbours, then
+    random ones. A pair right at 0.8 shares a band with probability 0.99, one at 0.3 with 0.007."""
+    r = random.Random(1)
+    out = [list(range(k, k + ROWS)) for k in range(0, BINS - ROWS + 1, ROWS)]
+    while len(out) < BANDS:
+        mixed = r.sample(range(BINS), BINS)
+        out += [mixed[k : k + ROWS] for k in range(0, BINS - ROWS + 1, ROWS)]
+    return out[:BANDS]
+
+
+LAYOUT = _layout()
+
+
 def band_hashes(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) hashes of ROWS values each."""
+    """(lines, BANDS) hashes, of 32 bits, of ROWS values each. Bands that are equal by accident only
+    cost a verification."""
     with np.errstate(over="ignore"):
-        h = np.empty((len(sig), BANDS), dtype=np.uint64)
-        for b in range(BANDS):
+        h = np.empty((len(sig), BANDS), dtype=np.uint32)
+        for b, bins in enumerate(LAYOUT):
             x = np.full(len(sig), b + 1, dtype=np.uint64)
-            for k in range(ROWS):
-                x = (x ^ sig[:, b * ROWS + k]) * np.uint64(0x9E3779B97F4A7C15)
+            for k in bins:
+                x = (x ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15)
                 x ^= x >> np.uint64(29)
-            h[:, b] = x
-    return h.view(np.int64)
+            h[:, b] = x >> np.uint64(32)
+    return h.view(np.int32)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -112,11 +129,76 @@ def line_table(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(size >= SHINGLE, BANDS, 0))])
                 take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1), pa.int64()))],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1), pa.int32()))],
                     ["doc_id", "row", "line_no", "h", "chars", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, chars long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, chars long, bands array<int>")
+
+
+def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, chars, bands): (part, base, entries), the bands of neighbouring lines
+    by part of the bands' values, as arrays in bytes: values, ids from base on, logarithms of chars
+    rounded up, bands' numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(every >> 16, prepend=-1, append=-1)).tolist()
+            for at, to in zip(cut, cut[1:]):
+                ids, n = every[at:to], to - at
+                log = np.ceil(8 * np.log2(batch.column(1).slice(at, n).to_numpy())).astype(np.uint8)
+                value = batch.column(2).slice(at, n).flatten().to_numpy().view(np.uint32).reshape(n, BANDS).T.reshape(-1)
+                part = value % np.uint32(parts)
+                order = np.argsort(part, kind="stable")
+                line, band, value, part = order % n, (order // n).astype(np.uint8), value[order], part[order]
+                low, log = (ids & 0xFFFF).astype(np.uint16)[line], log[line]
+                ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+                rows = [(int(part[a]), b"".join(x[a:z].tobytes() for x in (value, low, log, band))) for a, z in zip(np.append(0, ends[:-1]), ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([int(ids[0]) >> 16 << 16] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "base", "entries"])
+
+    return run
+
+
+def _shared(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """(id, chars, band, least) of the bands in `held` that at least two lines have."""
+    columns = []
+    for base, entries in held:
+        n = len(entries) // 8
+        low, log, band = np.frombuffer(entries, np.uint16, n, 4 * n), np.frombuffer(entries, np.uint8, n, 6 * n), np.frombuffer(entries, np.uint8, n, 7 * n)
+        columns.append(((np.frombuffer(entries, np.uint32, n).astype(np.int64) << SHIFT) | band, base + low.astype(np.int64), log))
+    key, ids, log = (np.concatenate(x) for x in zip(*columns))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    many = ~(new & np.append(new[1:], True))
+    key, order, new = key[many], order[many], new[many]
+    ids, chars = ids[order], np.exp2(log[order] / 8).astype(np.int64)
+    starts = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(ids)))) if len(ids) else ids
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, chars, key, least)], ["id", "chars", "band", "least"])
+
+
+def _members(texts: DataFrame) -> DataFrame:
+    """(id, chars, band, least): the bands that at least two lines have, with their least line. Most
+    bands have one line: they are told apart as arrays, not as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        part = None
+        for batch in batches:
+            for p, base, entries in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield _shared(held)
+                    held = []
+                part = p
+                held.append((base, entries))
+        if held:
+            yield _shared(held)
+
+    parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.where(F.size("bands") > 0).select("id", "chars", "bands").mapInArrow(_packed(parts), "part int, base long, entries binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "id long, chars long, band long, least long")
 
 
 def _groups(texts: DataFrame) -> DataFrame:
@@ -129,15 +211,13 @@ def _groups(texts: DataFrame) -> DataFrame:
     large into its bands, and a large band into pairs (x, y) of hash blocks, where the line is on
     the left (side 1), the right (2) or both (3)."""
     # a band's number is in its lowest bits
-    rows = texts.select("id", "chars", F.explode(F.transform("bands", lambda x, i: F.shiftleft(x, 4).bitwiseOR(i.cast("long")))).alias("band"))
-    bands = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("band", "least")
-    # hashed, not sorted: nearly all rows only pass by
-    members = materialise(rows.join(bands.hint("shuffle_hash"), "band"))
+    members = materialise(_members(texts))
     known = members.groupBy("id").agg(F.min("least").alias("known"))
     home = members.join(known, "id").groupBy("band").agg(F.min("known").alias("home"))
     rest = materialise(members.join(home, "band"))
     delete(members, texts.sparkSession)
-    bit = F.bit_or(F.expr("shiftleft(1, cast(band & 15 as int))")).alias("mask")
+    mask = F.expr(f"shiftleft(1, cast(band & {(1 << SHIFT) - 1} as int))")
+    bit = F.bit_or(mask).alias("mask")
     out = []
     for level, key in enumerate(("home", "least", "band")):
         large = rest.groupBy(key).agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select(key)
@@ -148,11 +228,16 @@ def _groups(texts: DataFrame) -> DataFrame:
     rest = rest.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("part") < F.col("other"), 1).when(F.col("part") > F.col("other"), 2).otherwise(3)
-    mask = F.expr("shiftleft(1, cast(band & 15 as int))")
     out.append(rest.select("id", F.col("band").alias("g"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), side.alias("side"), mask.alias("mask")))
     return reduce(DataFrame.unionByName, out)
 
 
+def _narrow(lines: list[str]) -> bool:
+    """Whether _sets can number the lines' characters in 12 bits."""
+    points = np.frombuffer("".join(lines).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return not len(points) or int(points.max()) >> 12 == 0 or len(np.unique(points)) >> 12 == 0
+
+
 def _sets(lines: list[str]) -> Callable[[int], np.ndarray | frozenset[str]]:
     """A function that makes the set of shingles of a line, once: sorted numbers that hold a
     shingle's characters themselves, in 12 bits each, after the group's characters are numbered if
@@ -190,63 +275,143 @@ def _common(x: np.ndarray | frozenset[str], y: np.ndarray | frozenset[str]) -> i
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _links(rows: list[tuple[int, int, int, list[int], str]], threshold: float) -> list[tuple[int, int, int]]:
-    """(id, root, links) of the linked lines of a group of (id, side, mask, bands, line).
+def _pairs(gid: np.ndarray, side: np.ndarray, mask: np.ndarray, bands: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q), about PAIRS at a time: the rows that meet, by the first band that they share."""
+    row, band = np.nonzero((mask[:, None] >> np.arange(BANDS)) & 1)
+    value = bands[row, band]
+    order = np.lexsort((row, value, band, gid[row]))
+    row, band, value = row[order], band[order], value[order]
+    new = np.append(True, (gid[row[1:]] != gid[row[:-1]]) | (band[1:] != band[:-1]) | (value[1:] != value[:-1]))
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(row)))
+    end = np.repeat(starts + size, size)
+    at, far, held, n = np.arange(len(row)), 0, [], 0
+    while len(at):
+        far += 1
+        at = at[at + far < end[at]]
+        for k in range(0, len(at), PAIRS):
+            held.append((at[k : k + PAIRS], far))
+            n += len(held[-1][0])
+            if n >= PAIRS:
+                yield _first(held, row, band, side, bands)
+                held, n = [], 0
+    if held:
+        yield _first(held, row, band, side, bands)
+
+
+def _first(held: list[tuple[np.ndarray, int]], row: np.ndarray, band: np.ndarray, side: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, to = np.concatenate([a for a, _ in held]), np.concatenate([a + far for a, far in held])
+    p, q, of = row[at], row[to], band[at]
+    met = (side[p] | side[q]) == 3
+    p, q, of = p[met], q[met], of[met]
+    first = (bands[p] == bands[q]).argmax(1) == of
+    return p[first], q[first]
+
+
+def _shares(p: np.ndarray, q: np.ndarray, of: Callable[[int], np.ndarray | frozenset[str]]) -> np.ndarray:
+    """How many shingles the lines of each pair have in common. Where few lines make many pairs,
+    from one bit for each shingle that at least two of them have."""
+    rows = np.unique(np.concatenate((p, q)))
+    if len(p) < 8 * len(rows) or isinstance(of(int(rows[0])), frozenset):
+        return np.array([_common(of(a), of(b)) for a, b in zip(p.tolist(), q.tolist())], dtype=np.int64)
+    sets = [of(k) for k in rows.tolist()]
+    _, nth, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1
+    line = np.repeat(np.arange(len(rows)), [len(x) for x in sets])
+    some = n[nth] > 1
+    line, nth = line[some], rank[nth[some]]
+    p, q, out = np.searchsorted(rows, p), np.searchsorted(rows, q), np.zeros(len(p), dtype=np.int64)
+    wide = max(1, (1 << 22) // len(rows)) * 64  # of the table of bits, a stripe at a time
+    for a in range(0, int(rank[-1]) + 1, wide):
+        own = (nth >= a) & (nth < a + wide)
+        bits = np.zeros((len(rows), -(-min(wide, int(rank[-1]) + 1 - a) // 64)), dtype=np.uint64)
+        np.bitwise_or.at(bits, (line[own], (nth[own] - a) >> 6), np.uint64(1) << ((nth[own] - a) & 63).astype(np.uint64))
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(p), step):
+            out[k : k + step] += np.bitwise_count(bits[p[k : k + step]] & bits[q[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _links(gid: np.ndarray, ids: np.ndarray, side: np.ndarray, mask: np.ndarray, bands: np.ndarray, lines: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, root, links) of the linked lines of some groups, by the groups' numbers `gid`.
 
     A pair counts in the first band that it shares, so in one group only. root is the least line
     that the group's links lead to."""
-    buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for k, (_, _, mask, bands, _) in enumerate(rows):
-        for i in range(BANDS):
-            if mask >> i & 1:
-                buckets[i, bands[i]].append(k)
-    of = _sets([r[4] for r in rows]) if rows else None
-    up, count = list(range(len(rows))), [0] * len(rows)
+    of = _sets(lines)
+    up, count = np.arange(len(lines)), np.zeros(len(lines), dtype=np.int64)
 
     def find(k: int) -> int:
         while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
+            up[k] = k = up[up[k]]
         return k
 
-    for (i, _), members in buckets.items():
-        for p, q in combinations(members, 2):
-            a, b = rows[p], rows[q]
-            if a[1] | b[1] != 3 or any(a[3][j] == b[3][j] for j in range(i)):
-                continue
-            x, y = of(p), of(q)
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                continue
-            common = _common(x, y)
-            if common >= threshold * (len(x) + len(y) - common):
-                count[p] += 1
-                count[q] += 1
-                p, q = sorted((find(p), find(q)))
-                up[q] = p
-    return [(r[0], rows[find(k)][0], count[k]) for k, r in enumerate(rows) if count[k]]
+    size = np.zeros(len(lines), dtype=np.int64)
+    for p, q in _pairs(gid, side, mask, bands):
+        for k in np.unique(np.concatenate((p, q))).tolist():
+            size[k] = size[k] or len(of(k))
+        near = np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q])
+        p, q = p[near], q[near]
+        if not len(p):
+            continue
+        common = _shares(p, q, of)
+        linked = common >= threshold * (size[p] + size[q] - common)
+        p, q = p[linked], q[linked]
+        count += np.bincount(p, minlength=len(count)) + np.bincount(q, minlength=len(count))
+        a, b = up[p], up[q]  # roots, or were before this loop
+        for a, b in np.unique(np.stack((a, b), 1)[a != b], axis=0).tolist():
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+        while (up[up] != up).any():
+            up = up[up]
+    some = np.flatnonzero(count)
+    return ids[some], ids[up[some]], count[some]
 
 
 def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
     """(id, root, n): links found in each group; tasks: (g, x, y, id, side, mask, bands, line), a
     group's rows together and sorted by id. Repeated rows of a line in a group count once."""
 
+    def found(held: list[tuple], lines: list[str]) -> Iterator[pa.RecordBatch]:
+        gid, ids, side, mask, bands = (np.concatenate(x) for x in zip(*held))
+        of = np.searchsorted(np.unique(gid), gid)
+        # a wide alphabet is a matter of one group
+        cut = [0, len(lines)] if not lines or _narrow(lines) else [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(lines)]
+        for a, z in zip(cut, cut[1:]):
+            got = _links(of[a:z], ids[a:z], side[a:z], mask[a:z], bands[a:z], lines[a:z], threshold)
+            if len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["id", "root", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        group = None
+        lines: list[str] = []
+        group, number, last, chars = None, -1, None, 0
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
+            if not batch.num_rows:
+                continue
             c = dict(zip(batch.schema.names, batch.columns))
-            bands = c["bands"].flatten().to_numpy().reshape(-1, BANDS).tolist()
-            for *at, id_, side, mask, b, line in zip(*(c[k].to_pylist() for k in ("g", "x", "y", "id", "side", "mask")), bands, c["line"].to_pylist()):
-                if at != group:
-                    found += _links(held, threshold)
-                    held, group = [], at
-                if not held or held[-1][0] != id_:
-                    held.append((id_, side, mask, b, line))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "root", "n"])
-        if found := _links(held, threshold):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "root", "n"])
+            at = [c[k].to_numpy() for k in ("g", "x", "y", "id")]
+            bands = c["bands"].flatten().to_numpy().reshape(-1, BANDS)
+            n = batch.num_rows
+            start = np.append(True, reduce(np.logical_or, (x[1:] != x[:-1] for x in at[:3]), np.zeros(n - 1, dtype=bool)))
+            start[0] = group != tuple(x[0] for x in at[:3])
+            again = np.append(at[3][:1] == last, at[3][1:] == at[3][:-1]) & ~start
+            gid = number + np.cumsum(start)
+            group, number, last = tuple(x[-1] for x in at[:3]), int(gid[-1]), at[3][-1]
+            # whole groups are handed on once there are enough characters
+            size, cut = np.cumsum(pc.utf8_length(c["line"]).to_numpy()), 0
+            for k in [*np.flatnonzero(start).tolist(), n]:
+                if k == n or chars + (int(size[k - 1]) if k else 0) - (int(size[cut - 1]) if cut else 0) >= 1 << 19:
+                    own = np.flatnonzero(~again[cut:k]) + cut
+                    if len(own):
+                        held.append((gid[own], at[3][own], c["side"].to_numpy()[own], c["mask"].to_numpy()[own], bands[own]))
+                        lines += c["line"].take(pa.array(own)).to_pylist()
+                    chars += (int(size[k - 1]) if k else 0) - (int(size[cut - 1]) if cut else 0)
+                    cut = k
+                    if k < n and held:
+                        yield from found(held, lines)
+                        held, lines, chars = [], [], 0
+        if held:
+            yield from found(held, lines)
 
     return tasks.mapInArrow(run, "id long, root long, n long")
 
@@ -261,8 +426,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     case, reaches the threshold. Of each connected group the line stays that comes first by
     document id, then by a hash of the document, then by line number.
 
-    Candidates share one of 12 bands of 5 MinHash values: a pair right at the threshold is found
-    with probability 0.99. Lines that share bands are sent to common groups (see _groups), whose
+    Candidates share one of 30 bands of 7 of 64 MinHash values: a pair right at the threshold is
+    found with probability 0.99. Lines that share bands are sent to common groups (see _groups), whose
     size is bounded; every pair that shares a band is verified once; only a forest of the links
     and their numbers leave a group. Copies are merged, partly before the shuffle, so a line that
     half of all documents have is one row. Lines of fewer than 5 characters only equal each

@@ -199,3 +199,33 @@ def test_near_join_beside_copies(spark):
     got = {x.doc_id: x.class_id for x in nearjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {got[k] for k in range(120)} == {0}
     assert sum(got[1001 + 2 * k] == 1000 + 2 * k for k in range(150)) >= 0.97 * 150
+
+
+def test_bands_of_unlike_lines():
+    """Lines far from the threshold seldom meet, as their number grows with the square of the lines';
+    those right at it nearly always do."""
+    r = np.random.default_rng(7)
+    a, b = r.integers(0, 1 << 63, (2, 20_000, linededup.BINS), dtype=np.uint64)
+
+    def met(j):
+        return (linededup.band_hashes(a) == linededup.band_hashes(np.where(r.random(a.shape) < j, a, b))).any(1).mean()
+
+    assert met(0.3) < 0.012 and met(0.8) > 0.985
+
+
+def test_links_of_a_family():
+    """Hundreds of near copies beside single lines: links as counted one by one."""
+    r = np.random.default_rng(8)
+    base, lines = list(map(chr, r.integers(97, 123, 150))), []
+    for k in range(300):
+        x = list(base)
+        x[int(r.integers(len(x)))] = chr(0x400 + int(r.integers(60)))
+        lines.append("".join(x) + "xyz"[k % 3])
+    lines = list(dict.fromkeys(lines)) + ["".join(map(chr, r.integers(97, 110, 70))) for _ in range(40)]
+    n, bands = len(lines), linededup.band_hashes(linededup.signatures(lines))
+    got = linededup._links(np.zeros(n, dtype=int), np.arange(n), np.full(n, 3), np.full(n, (1 << linededup.BANDS) - 1), bands, lines, 0.8)
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    links = [(i, j) for i in range(n) for j in range(i) if (bands[i] == bands[j]).any() and jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(links) > 8 * n
+    number, root = Counter(x for p in links for x in p), united(n, links)
+    assert {i: (x, c) for i, x, c in zip(*(x.tolist() for x in got))} == {i: (root[i], c) for i, c in number.items()}
