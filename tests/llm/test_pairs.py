@@ -201,6 +201,30 @@ def test_near_join_beside_copies(spark):
     assert sum(got[1001 + 2 * k] == 1000 + 2 * k for k in range(150)) >= 0.97 * 150
 
 
+def test_work_of_a_family(spark, monkeypatch):
+    """Near copies are compared by what they change, and their links, n x n / 2, are no edges of the
+    search for components; links and classes are as brute force has them."""
+    r = np.random.default_rng(4)
+    base, rows = [f"w{x}" for x in r.integers(0, 1 << 60, 200)], []
+    for k in range(90):
+        w = list(base)
+        for at in r.integers(3, 197, 2 if k % 3 else 16):
+            w[int(at)] = f"own{k}x{at}"
+        rows.append((k, " ".join(w)))
+    coded, edges = [], []
+    monkeypatch.setattr(nearjoin, "_coded", lambda members, sets, f=nearjoin._coded: coded.append(f(members, sets)) or coded[-1].cache())
+    monkeypatch.setattr(nearjoin, "components", lambda e: edges.append(e.count()) or components(e))
+    got = nearjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)]
+    links = [(i, j) for i in range(90) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.5]
+    number, root = Counter(x for p in links for x in p), united(90, links)
+    assert 2000 < len(links) < 90 * 89 / 2  # some pairs of much changed ones aren't linked
+    assert {(x.doc_id, x.class_id, x.n_links) for x in got} == {(k, root[k], number[k]) for k in range(90)}
+    assert edges[0] < 3 * 90
+    sent = coded[0].collect()
+    assert len(sent) >= 90 and np.mean([len(x.delta) for x in sent]) < 0.6 * np.mean([x.size for x in sent])
+
+
 def test_bands_of_unlike_lines():
     """Lines far from the threshold seldom meet, as their number grows with the square of the lines';
     those right at it nearly always do."""
