@@ -58,17 +58,18 @@ def signatures(lines: list[str], n: int = SHINGLE) -> np.ndarray:
             h[at[(at >= 0) & (at < len(h))]] = none
         np.minimum.at(out, bins, h)
     out = out.reshape(len(lines), BINS)
-    rows = np.flatnonzero((out == none).any(1))
-    some = out[rows]
-    filled = some.copy()
+    empty = out == none
+    rows = np.flatnonzero(empty.any(1) & ~empty.all(1))
+    some, empty = out[rows], empty[rows]
+    # for each bin, the next one that isn't empty, counted on past the last bin
+    at = np.where(empty, 2 * BINS, np.arange(BINS)).astype(np.uint8)
+    at = np.concatenate([at, np.where(empty, 2 * BINS, np.arange(BINS, 2 * BINS)).astype(np.uint8)], axis=1)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, : BINS - 1 : -1]
+    line, k = np.nonzero(empty)
+    to = at[line, k]
     with np.errstate(over="ignore"):
-        for k in range(1, BINS):
-            empty = filled == none
-            if not empty.any():
-                break
-            moved = np.roll(some, -k, axis=1)
-            filled = np.where(empty & (moved != none), moved + np.uint64(k) * np.uint64(0x632BE59BD9B4E019), filled)
-    out[rows] = filled
+        some[line, k] = some[line, to % BINS] + (to - k).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    out[rows] = some
     return out
 
 
@@ -90,16 +91,35 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     """(lines, BANDS) hashes, of 32 bits, of ROWS values each. Bands that are equal by accident only
     cost a verification."""
     with np.errstate(over="ignore"):
-        h = np.empty((len(sig), BANDS), dtype=np.uint32)
+        sig = np.ascontiguousarray(sig.T)
+        h = np.empty((sig.shape[1], BANDS), dtype=np.uint32)
         for b, bins in enumerate(LAYOUT):
-            x = np.full(len(sig), b + 1, dtype=np.uint64)
+            x = np.full(len(h), b + 1, dtype=np.uint64)
             for k in bins:
-                x = (x ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                x ^= sig[k]
+                x *= np.uint64(0x9E3779B97F4A7C15)
                 x ^= x >> np.uint64(29)
             h[:, b] = x >> np.uint64(32)
     return h.view(np.int32)
 
 
+def _bytes(bands: np.ndarray, some: np.ndarray) -> pa.Array:
+    """A column of bytes: the next row of `bands` where `some` holds, nothing elsewhere. As lists of
+    numbers, they would cost a parquet value and an Arrow one for each."""
+    ends = np.concatenate([[0], np.cumsum(np.where(some, bands.itemsize * BANDS, 0))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bands))])
+
+
+def _numbers(col: pa.Array) -> np.ndarray:
+    """(rows, BANDS) numbers of a column that _bytes made, of rows that all have some."""
+    if not len(col):
+        return np.empty((0, BANDS), dtype=np.int32)
+    _, ends, data = col.buffers()
+    wide = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    start = np.frombuffer(ends, wide)[col.offset]
+    return np.frombuffer(data, np.int32, len(col) * BANDS, int(start)).reshape(-1, BANDS)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, h, chars, bands) of the lines that aren't blank; docs has doc_id, row,
     text. A document with lines has one more row, of line_no -1, whose h stands for the document."""
@@ -126,14 +146,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 low = [x.lower() for x in lines]
                 size = np.array([len(x) for x in low], dtype=np.int64)
                 bands = band_hashes(signatures(low))[size >= SHINGLE]
-                ends = np.concatenate([[0], np.cumsum(np.where(size >= SHINGLE, BANDS, 0))])
                 take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array(digests, pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1), pa.int32()))],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), pa.array(digests, pa.binary()), pa.array(size), _bytes(bands, size >= SHINGLE)],
                     ["doc_id", "row", "line_no", "h", "chars", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, chars long, bands array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, line_no int, h binary, chars long, bands binary")
 
 
 def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,7 +167,7 @@ def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for at, to in zip(cut, cut[1:]):
                 ids, n = every[at:to], to - at
                 log = np.ceil(8 * np.log2(batch.column(1).slice(at, n).to_numpy())).astype(np.uint8)
-                value = batch.column(2).slice(at, n).flatten().to_numpy().view(np.uint32).reshape(n, BANDS).T.reshape(-1)
+                value = _numbers(batch.column(2).slice(at, n)).view(np.uint32).T.reshape(-1)
                 part = value % np.uint32(parts)
                 order = np.argsort(part, kind="stable")
                 line, band, value, part = order % n, (order // n).astype(np.uint8), value[order], part[order]
@@ -197,7 +216,7 @@ def _members(texts: DataFrame) -> DataFrame:
             yield _shared(held)
 
     parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.where(F.size("bands") > 0).select("id", "chars", "bands").mapInArrow(_packed(parts), "part int, base long, entries binary")
+    rows = texts.where(F.octet_length("bands") > 0).select("id", "chars", "bands").mapInArrow(_packed(parts), "part int, base long, entries binary")
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "id long, chars long, band long, least long")
 
 
@@ -220,10 +239,13 @@ def _groups(texts: DataFrame) -> DataFrame:
     bit = F.bit_or(mask).alias("mask")
     out = []
     for level, key in enumerate(("home", "least", "band")):
-        large = rest.groupBy(key).agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select(key)
-        own = rest.join(large, key, "left_anti").groupBy("id", F.col(key).alias("g")).agg(bit)
+        large = materialise(rest.groupBy(key).agg(F.sum("chars").alias("total")).where(F.col("total") > GROUP).select(key))
+        whole = large.isEmpty()
+        own = (rest if whole else rest.join(large, key, "left_anti")).groupBy("id", F.col(key).alias("g")).agg(bit)
         out.append(own.select("id", "g", F.lit(level - 3).alias("x"), F.lit(-1).alias("y"), F.lit(3).alias("side"), "mask"))
-        rest = rest.join(large, key)
+        if whole:
+            return reduce(DataFrame.unionByName, out)
+        rest = materialise(rest.join(large, key))
     parts = rest.groupBy("band").agg(F.ceil(F.sum("chars") * 2 / GROUP).cast("int").alias("parts"))
     rest = rest.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -390,7 +412,7 @@ def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
                 continue
             c = dict(zip(batch.schema.names, batch.columns))
             at = [c[k].to_numpy() for k in ("g", "x", "y", "id")]
-            bands = c["bands"].flatten().to_numpy().reshape(-1, BANDS)
+            bands = _numbers(c["bands"])
             n = batch.num_rows
             start = np.append(True, reduce(np.logical_or, (x[1:] != x[:-1] for x in at[:3]), np.zeros(n - 1, dtype=bool)))
             start[0] = group != tuple(x[0] for x in at[:3])
@@ -481,13 +503,14 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFram
     blank = r"^[\s\x1c-\x1f\x85\p{Z}]*$"
     none = F.array().cast("array<int>")
     j = j.withColumns({"lines": F.split("whole", "\n", -1), "kept": F.coalesce("kept", none)})
-    j = j.withColumn("blank", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(blank), i)), lambda i: i.isNotNull()))
+    some = F.size("kept") < F.size("lines")  # else all lines stay and none is blank
+    j = j.withColumn("blank", F.when(some, F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(blank), i)), lambda i: i.isNotNull())).otherwise(none))
     stay = F.transform(F.array_sort(F.array_union("kept", "blank")), lambda i: F.get("lines", i))
     n = F.coalesce(F.size("lines") - F.size("blank"), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
     return j.select(
         "d",
-        F.array_join(stay, "\n").alias("text"),
+        F.when(some, F.array_join(stay, "\n")).otherwise(F.col("whole")).alias("text"),
         F.when(F.col("whole").isNull(), zero).otherwise(n).alias("n_lines"),
         F.size("kept").cast("long").alias("n_kept"),
         F.coalesce("n_fuzzy", zero).alias("n_fuzzy"),

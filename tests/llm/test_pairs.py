@@ -253,3 +253,25 @@ def test_links_of_a_family():
     assert len(links) > 8 * n
     number, root = Counter(x for p in links for x in p), united(n, links)
     assert {i: (x, c) for i, x, c in zip(*(x.tolist() for x in got))} == {i: (root[i], c) for i, c in number.items()}
+
+
+def test_bands_as_bytes(spark):
+    """Bands travel as bytes, of the lines that have some, and come back from any slice; what fills an
+    empty bin is the next one that isn't, also past the last bin."""
+    r = np.random.default_rng(9)
+    bands = r.integers(-(1 << 31), 1 << 31, (40, linededup.BANDS)).astype(np.int32)
+    some = np.arange(40) % 3 > 0
+    col = linededup._bytes(bands[some], some)
+    assert [x is not None and len(x) for x in col.to_pylist()] == (4 * linededup.BANDS * some).tolist()
+    whole = linededup._bytes(bands, np.ones(40, dtype=bool))
+    for a, z in ((0, 40), (7, 21), (39, 40), (5, 5)):
+        assert (linededup._numbers(whole.slice(a, z - a)) == bands[a:z]).all()
+    assert dict(linededup.line_table(spark.createDataFrame([(1, 2, "a line")], "doc_id long, row long, text string")).dtypes)["bands"] == "binary"
+    line = "abcdefgh" * 2 + "xyz"
+    h = linededup._shingles(np.frombuffer(line.encode("utf-32-le"), dtype="<u4"), linededup.SHINGLE)
+    own = {}
+    for x in h.tolist():
+        own[x >> 58] = min(x, own.get(x >> 58, x))
+    far = [next(k for k in range(linededup.BINS) if (b + k) % linededup.BINS in own) for b in range(linededup.BINS)]
+    want = [(own[(b + k) % linededup.BINS] + k * 0x632BE59BD9B4E019) % (1 << 64) for b, k in enumerate(far)]
+    assert linededup.signatures(["", line])[1].tolist() == want
