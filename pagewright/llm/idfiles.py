@@ -87,6 +87,16 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "key long, tie long, ids binary")
 
 
+def flat_ids(col: pa.Array, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The ids of a column of uint16 ids in bytes, one row after the other, at most `most` at a time."""
+    _, ends, data = col.buffers()
+    wide = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    if len(col):
+        a, z = (int(np.frombuffer(ends, wide)[col.offset + k]) for k in (0, len(col)))
+        for k in range(a, z, 2 * most):
+            yield np.frombuffer(data, "<u2", min(most, (z - k) // 2), k)
+
+
 def ranking(tokens: DataFrame) -> np.ndarray:
     """Ids by falling frequency over all documents, ties to the smaller id. At most 65,536 rows
     reach the driver: one an id of the vocabulary."""
@@ -94,8 +104,8 @@ def ranking(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype="<u2"), minlength=1 << 16)
+            for x in flat_ids(batch.column(0)):
+                total += np.bincount(x, minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 

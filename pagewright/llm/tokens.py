@@ -38,7 +38,7 @@ class Encoder:
     path: a byte-level BPE file of the tokenizers library without normaliser and prefix space.
     keep: units that a worker remembers; when full, the older half is forgotten."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -48,6 +48,8 @@ class Encoder:
         self.model, self.keep = self.tok.model, keep
         self.alphabet = _byte_alphabet()
         self.seen: dict[str, bytes] = {}
+        #: The same for units that follow a space, without that space.
+        self.after: dict[str, bytes] = {}
 
     def _piece(self, s: str) -> bytes:
         if s.isascii():  # letters are themselves in the byte alphabet, and only a space is not
@@ -72,14 +74,16 @@ class Encoder:
         return array("H", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        got = self.seen.get(unit)
+        seen, key = (self.after, unit[1:]) if unit[:1] == " " else (self.seen, unit)
+        got = seen.get(key)
         if got is None:
             got = self._ids(unit)
             if len(unit) <= 48:
-                if len(self.seen) >= self.keep:
-                    for k in list(self.seen)[: self.keep // 2]:
-                        del self.seen[k]
-                self.seen[unit] = got
+                if len(self.seen) + len(self.after) >= self.keep:
+                    for d in (self.seen, self.after):
+                        for k in list(d)[: -(-len(d) // 2)]:
+                            del d[k]
+                seen[key] = got
         return got
 
     def _slow(self, text: str) -> np.ndarray:
@@ -102,34 +106,30 @@ class Encoder:
         offsets = cut.offsets.to_numpy().astype(np.int64)
         d = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        units, idx = d.dictionary.to_pylist(), d.indices.to_numpy().astype(np.int64)
-        dirty = np.zeros(len(units) + n, dtype=bool)
-        vals: list[bytes] = []
-        for k, u in enumerate(units):
-            if not u or u[0].isspace() or u[-1].isspace():
-                dirty[k] = True
-                vals.append(b"")
-            else:
-                vals.append(self._unit(" " + u))
+        # no unit has a space, and one string is parted faster than many are made
+        every = pa.ListArray.from_arrays(pa.array([0, len(d.dictionary)], pa.int32()), d.dictionary)
+        units, idx = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), d.indices.to_numpy().copy()
+        vals: list[bytes] = list(map(self.after.get, units))
+        for k in [k for k, x in enumerate(vals) if x is None]:
+            u = units[k]  # what has no ids is left to _slow
+            vals[k] = self._unit(" " + u) if u and not u[0].isspace() and not u[-1].isspace() else b""
         firsts = offsets[:-1]
-        for k, i in enumerate(idx[firsts]):  # the first unit of a text has no space before it
-            if dirty[i] or not units[i]:
-                dirty[len(units) + k] = True
-                vals.append(b"")
-            else:
-                vals.append(self._unit(units[i]))
-        idx = idx.copy()
+        # the first unit of a text has no space before it
+        vals += [self._unit(units[i]) if vals[i] else b"" for i in idx[firsts].tolist()]
         idx[firsts] = len(units) + np.arange(n)
         lens = np.fromiter(map(len, vals), dtype=np.int64, count=len(vals)) // 2
         flat = np.frombuffer(b"".join(vals), dtype="<u2")
-        at = np.concatenate([[0], np.cumsum(lens)])[:-1]
+        at = np.cumsum(lens) - lens
         ul = lens[idx]
         ends = np.cumsum(ul)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[idx] - (ends - ul), ul)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 30 else np.int64
+        take = np.repeat((at[idx] - (ends - ul)).astype(kind), ul)
+        take += np.arange(total, dtype=kind)
         ids = flat[take]
         bounds = np.concatenate([[0], ends])[offsets]
-        bad = np.add.reduceat(dirty[idx].astype(np.int64), firsts) > 0
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        bad = np.add.reduceat(ul == 0, firsts, dtype=np.int64) > 0
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for k in np.flatnonzero(bad):
             s = texts[int(k)].as_py()
             out[k] = self._slow(s) if s else np.empty(0, dtype="<u2")

@@ -116,3 +116,23 @@ def test_number_code(values):
 def test_bad_file():
     with pytest.raises(ValueError):
         next(idfiles.blocks(io.BytesIO(b"x" * 64)))
+
+
+def test_units_forgotten():
+    """Units that follow a space are kept apart from others; with room for few, ids stay right."""
+    enc = Encoder(TOKENIZER, keep=6)
+    texts = [t or "" for t in (r[1] for r in corpus(12))] + ODD
+    for _ in range(2):
+        assert [list(x) for x in enc.encode(pa.array(texts))] == [direct(t) for t in texts]
+        assert enc.after and len(enc.seen) + len(enc.after) <= 6
+    assert not any(u.startswith(" ") for u in [*enc.seen, *enc.after])
+
+
+def test_ids_counted_at_once():
+    """Ids are read from a column's bytes, whatever slice it is, and not row by row."""
+    rows = [np.array(x, dtype="<u2") for x in ([1, 2, 65535], [], [7] * 9, [3])]
+    col = pa.array([x.tobytes() for x in rows], pa.binary())
+    for c in (col, col.cast(pa.large_binary())):
+        assert [x.tolist() for x in idfiles.flat_ids(c)] == [[1, 2, 65535] + [7] * 9 + [3]]
+        assert np.concatenate(list(idfiles.flat_ids(c.slice(1, 3), 4))).tolist() == [7] * 9 + [3]
+        assert list(idfiles.flat_ids(c.slice(0, 0))) == [] and list(idfiles.flat_ids(c.slice(1, 1))) == []
