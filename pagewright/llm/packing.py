@@ -24,31 +24,38 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     or partition that came first."""
     if not sizes:
         return [[] for _ in range(k)]
-    heap: list[tuple[int, int, np.ndarray, list]] = []
+    # members are numbers of items, and beyond those of pairs of members; -1 is none
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[int, int]] = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, dtype=np.int64)
-        sums[0] = s
-        heap.append((-s if k > 1 else 0, i, sums, [i] + [None] * (k - 1)))
+        sums, members = np.zeros(k, dtype=np.int64), np.full(k, -1, dtype=np.int64)
+        sums[0], members[0] = s, i
+        heap.append((-s if k > 1 else 0, i, sums, members))
     heapq.heapify(heap)
     made = len(sizes)
     while len(heap) > 1:
         _, _, a, am = heapq.heappop(heap)
-        _, _, b, bm = heapq.heappop(heap)
-        sums = a + b[::-1]
-        members = [x if y is None else y if x is None else (x, y) for x, y in zip(am, reversed(bm))]
+        _, _, b, bm = heap[0]
+        sums, bm = a + b[::-1], bm[::-1]
+        members = np.maximum(am, bm)
+        both = np.flatnonzero(np.minimum(am, bm) >= 0)
+        if len(both):
+            new = len(sizes) + len(pairs)
+            pairs += zip(am[both].tolist(), bm[both].tolist())
+            members[both] = np.arange(new, new + len(both))
         order = np.argsort(-sums, kind="stable")
         sums = sums[order]
         sums -= sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), made, sums, [members[o] for o in order]))
+        heapq.heapreplace(heap, (-int(sums[0]), made, sums, members[order]))
         made += 1
     out = []
-    for m in heap[0][3]:
+    for m in heap[0][3].tolist():
         items, stack = [], [m]
         while stack:
             x = stack.pop()
-            if isinstance(x, tuple):
-                stack += x
-            elif x is not None:
+            if x >= len(sizes):
+                stack += pairs[x - len(sizes)]
+            elif x >= 0:
                 items.append(x)
         out.append(sorted(items))
     return out

@@ -2,7 +2,7 @@
 
 import io
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +136,26 @@ def test_ids_counted_at_once():
         assert [x.tolist() for x in idfiles.flat_ids(c)] == [[1, 2, 65535] + [7] * 9 + [3]]
         assert np.concatenate(list(idfiles.flat_ids(c.slice(1, 3), 4))).tolist() == [7] * 9 + [3]
         assert list(idfiles.flat_ids(c.slice(0, 0))) == [] and list(idfiles.flat_ids(c.slice(1, 1))) == []
+
+
+def test_difference_by_arrays():
+    """Merging two partitions takes a number of Python steps that doesn't depend on that of their sets."""
+    import sys
+
+    sizes, steps = [3 + 37 * i % 250 for i in range(200)], Counter()
+
+    def trace(frame, event, arg):
+        if frame.f_code is not packing.difference.__code__:
+            return None
+        frame.f_trace_opcodes = True
+        steps[event] += 1
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        sets = packing.difference(sizes, 64)
+    finally:
+        sys.settrace(before)
+    assert sorted(i for s in sets for i in s) == list(range(200)) and len(sets) == 64
+    assert 0 < steps["opcode"] < 200 * 64 * 5
