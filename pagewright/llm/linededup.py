@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bound, components, delete, materialise, nested, release_shuffles, unnested
-from pagewright.llm.tokens import slices
+from pagewright.llm.tokens import forget, slices
 
 BINS, BANDS, ROWS, SHINGLE = 64, 30, 7, 5
 #: Bits of a band's number in a key; pairs looked at together.
@@ -126,6 +126,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(2)
             for a, z in slices(texts, 1 << 18):
@@ -161,6 +162,7 @@ def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     rounded up, bands' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             every = batch.column(0).to_numpy()
             cut = np.flatnonzero(np.diff(every >> 16, prepend=-1, append=-1)).tolist()
@@ -203,6 +205,7 @@ def _members(texts: DataFrame) -> DataFrame:
     bands have one line: they are told apart as arrays, not as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple[int, bytes]] = []
         part = None
         for batch in batches:
@@ -404,6 +407,7 @@ def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["id", "root", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple] = []
         lines: list[str] = []
         group, number, last, chars = None, -1, None, 0

@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             key_type = batch.column(0).type
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 20):
                 done: list[tuple] = []
                 for key, ids in zip(keys[a:b], enc.encode(texts.slice(a, b - a))):
                     ids = np.append(ids, np.uint16(end_id))
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         done += place()
                 if done:
                     yield emit(done)
+                pa.default_memory_pool().release_unused()  # else it stays beside what the encoder remembers
         if rests:
             yield emit(place())
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.common import materialise, nested, unnested
-from pagewright.llm.tokens import slices
+from pagewright.llm.tokens import forget, slices
 
 #: Rows of two numbers that are broadcast at most.
 _FEW = 100_000
@@ -64,6 +64,7 @@ def grams(sample: DataFrame, text_col: str, lang_col: str, order: int) -> DataFr
     width = order + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total: dict[tuple[str, int, int], int] = defaultdict(int)
         for batch in batches:
             for text, lang in zip(pc.utf8_lower(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
@@ -189,6 +190,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         for whole in batches:
             for a, z in slices(pc.struct_field(whole.column(0), text_col), 1 << 19):

@@ -8,6 +8,8 @@ tokenizers library only sees the units that a worker hasn't met."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from array import array
 from functools import lru_cache
@@ -32,6 +34,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop the worker's encoders and give their memory back to the system. Workers outlive a stage:
+    tasks that encode nothing call this first, or they'd run beside all that was remembered."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+
 class Encoder:
     """Encodes texts to uint16 ids (vocabularies beyond 65,536 ids are refused).
 

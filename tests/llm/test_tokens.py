@@ -159,3 +159,32 @@ def test_difference_by_arrays():
         sys.settrace(before)
     assert sorted(i for s in sets for i in s) == list(range(200)) and len(sets) == 64
     assert 0 < steps["opcode"] < 200 * 64 * 5
+
+
+def test_encoder_ends_with_its_stage(spark, monkeypatch):
+    """A worker serves all stages: what the encoder remembers doesn't stay beside another's tasks."""
+    import weakref
+    from contextlib import suppress
+
+    from pagewright.llm import linededup, ppm
+    from pagewright.llm.tokens import encoder
+
+    docs, runs = frame(spark), []
+    texts = spark.createDataFrame([], "id long, chars long, bands binary")
+
+    def taken(self, run, schema):
+        runs.append(run)
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", taken)
+    linededup.line_table(docs.selectExpr("doc_id", "0L as row", "text"))
+    linededup._members(texts)  # two
+    linededup._verify(texts, 0.8)
+    ppm.grams(docs, "text", "lang", 3)
+    ppm.predict(docs, ppm.build([], 3))
+    assert len(runs) == 6
+    for run in runs:
+        held = weakref.ref(encoder(TOKENIZER))
+        with suppress(StopIteration):
+            next(run(iter([])))
+        assert held() is None
