@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.config import QUERY_PREFIX
 from pagewright.functions.clean import tokens
+from pagewright.operators.word2vec import fit
 
 
 def hashing(dims: int = 64, grams: int | None = None) -> Callable[[list[str]], np.ndarray]:
@@ -52,6 +52,6 @@ def embed_queries(queries: DataFrame, model: Callable[[], Callable[[list[str]],
     return embed_passages(x, model, "_t").withColumnRenamed("embedding", "q").drop("_t")
 
 
-def word2vec(docs: DataFrame, text_col: str = "text", dims: int = 100, window: int = 5, least: int = 1):
-    """ML-11: a fitted model of words."""
-    return Word2Vec(vectorSize=dims, windowSize=window, minCount=least, inputCol="_words", outputCol="_v", seed=1).fit(docs.select(tokens(F.col(text_col), True).alias("_words")))
+def word2vec(docs: DataFrame, text_col: str = "text", dims: int = 100, window: int = 5, least: int = 1) -> DataFrame:
+    """ML-11: (word, vector) of all words."""
+    return fit(tokens(F.col(text_col), True), docs, dims, window, least, seed=1)

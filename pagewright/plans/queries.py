@@ -697,4 +697,4 @@ def _(s, d):
 
 @query("word2vec_shape")
 def _(s, d):
-    return embed.word2vec(V.table(s, d, "documents").na.fill({"text": ""})).getVectors().select("word", F.lit(100).alias("dims"))
+    return embed.word2vec(V.table(s, d, "documents").na.fill({"text": ""})).select("word", F.lit(100).alias("dims"))
