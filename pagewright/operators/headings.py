@@ -27,13 +27,28 @@ def baseline_size(spans: DataFrame) -> DataFrame:
 
 def score(text: Column, rel: Column, bold: Column, italic: Column, config: Config = DEFAULT) -> tuple[Column, Column]:
     """P-07: (score, reasons)."""
+    both = scored(text, rel, bold, italic, config)
+    return both["score"], both["reasons"]
+
+
+def scored(text: Column, rel: Column, bold: Column, italic: Column, config: Config = DEFAULT) -> Column:
+    """P-07 as one struct of score and reasons. What is read off the text is computed once a line: the
+    lambda binds it, where plain columns would be computed again in each of their places."""
     t = strip(text)
-    n = P.words(t)
+    once = F.transform(F.array(t), lambda t: F.struct(t.alias("t"), P.words(t).alias("n"), _count(t, "L").alias("letters"), _count(t, "Lu").alias("capitals"), rel.alias("rel"), bold.alias("bold"), italic.alias("italic")))
+    return F.get(F.transform(once, lambda f: _points(f, config)), F.lit(0))
+
+
+def _count(t: Column, kind: str) -> Column:
+    """Characters of a kind: what is left without the others."""
+    return F.length(F.regexp_replace(t, rf"\P{{{kind}}}+", ""))
+
+
+def _points(f: Column, config: Config) -> Column:
+    t, n, letters, capitals, rel, bold, italic = (f[k] for k in ("t", "n", "letters", "capitals", "rel", "bold", "italic"))
     core = F.regexp_replace(t, r"\.+$", "")
     numbering = core.rlike(r"^\p{Nd}+$") | core.rlike(r"(?i)^[IVXLCDM]+$") | core.rlike(r"^[A-Za-z]*\s*\d+$")
     dangling = (n == 1) & t.endswith(".") & ~numbering
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    capitals = F.regexp_count(t, F.lit(r"\p{Lu}"))
     steps = [  # (condition, points, reason); the first of a group that holds counts
         [(bold, 3, "bold"), (italic, 2, "italic")],
         [(rel >= 1.5, 3, "much_larger_than_body"), (rel >= 1.15, 2, "larger_than_body"), (rel >= 0.98, 1, "body_size_but_styled"), (F.lit(True), -2, "smaller_than_body")],
@@ -57,7 +72,7 @@ def score(text: Column, rel: Column, bold: Column, italic: Column, config: Confi
         .when(dangling, F.array(F.lit("dangling_sentence_fragment")))
         .otherwise(F.array_compact(F.array(*reasons)))
     )
-    return total, why
+    return F.struct(total.alias("score"), why.alias("reasons"))
 
 
 def level(text: Column, rel: Column, bold: Column, italic: Column) -> Column:
@@ -74,8 +89,8 @@ def detect(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     x = lines.join(base, DOC, "left").withColumn("baseline_body_size", F.coalesce("baseline_body_size", F.lit(config.fallback_size)))
     bold = has_flag("flags", BOLD)
     x = x.withColumns({"is_bold": bold, "is_italic": has_flag("flags", ITALIC) & ~bold, "relative_size": F.col("size") / F.col("baseline_body_size")})
-    s, why = score(F.col("text"), F.col("relative_size"), F.col("is_bold"), F.col("is_italic"), config)
-    x = x.withColumns({"score": s, "reasons": why})
+    x = x.withColumn("_s", scored(F.col("text"), F.col("relative_size"), F.col("is_bold"), F.col("is_italic"), config))
+    x = x.withColumns({"score": F.col("_s.score"), "reasons": F.col("_s.reasons")}).drop("_s")
     x = x.withColumn("is_heading", F.col("score") >= config.heading_score)
     x = x.withColumn("level", F.when(F.col("is_heading"), level(F.col("text"), F.col("relative_size"), F.col("is_bold"), F.col("is_italic"))).otherwise(0))
     return suppress_bold_runs(x)

@@ -43,8 +43,10 @@ def assemble(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def repeated(blocks: DataFrame, key: Column, config: Config = DEFAULT) -> DataFrame:
     """(doc, key): paragraph texts on at least max(5, 0.3 of the pages) pages of a report."""
-    pages = blocks.groupBy(*DOC).agg(F.count_distinct("page_index").alias("pages"))
-    on = blocks.where("block_type = 'paragraph'").groupBy(*DOC, key.alias("_key")).agg(F.count_distinct("page_index").alias("n"))
+    mark = F.when(F.col("block_type") == "paragraph", key).alias("_key")
+    each = blocks.select(*DOC, "page_index", mark).distinct()  # one pass over the blocks for both
+    pages = each.groupBy(*DOC).agg(F.count_distinct("page_index").alias("pages"))
+    on = each.where("_key is not null").groupBy(*DOC, "_key").agg(F.count("page_index").alias("n"))
     least = F.greatest(F.lit(float(config.boilerplate_pages)), F.col("pages") * config.boilerplate_share)
     return on.join(pages, DOC).where(F.col("n") >= least).select(*DOC, "_key")
 

@@ -41,9 +41,9 @@ def tree(blocks: DataFrame) -> DataFrame:
     """(doc, section_id, parent_id, level, title, path, page_start, page_end, paragraphs): a row a
     section; page_end is the last page of what the section itself holds."""
     x = place(blocks).where("section_id is not null")
-    own = x.where("section_id = ord").select(*DOC, "section_id", "parent_id", F.col("_level").alias("level"), F.col("text").alias("title"), "path", F.col("page_index").alias("page_start"))
-    held = x.groupBy(*DOC, "section_id").agg(F.max("page_index").alias("page_end"), F.count_if(F.col("_level").isNull()).alias("paragraphs"))
-    return own.join(held, [*DOC, "section_id"])
+    own = F.when(F.col("section_id") == F.col("ord"), F.struct("parent_id", F.col("_level").alias("level"), F.col("text").alias("title"), "path", F.col("page_index").alias("page_start")))
+    held = x.groupBy(*DOC, "section_id").agg(F.first(own, ignorenulls=True).alias("_own"), F.max("page_index").alias("page_end"), F.count_if(F.col("_level").isNull()).alias("paragraphs"))
+    return held.select(*DOC, "section_id", "_own.*", "page_end", "paragraphs")
 
 
 def tables_to_sections(tables: DataFrame, blocks: DataFrame) -> DataFrame:
